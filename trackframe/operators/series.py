@@ -277,10 +277,9 @@ def fill_gaps(series: DataFrame, by: Sequence[str], cols: Sequence[str], t: str
     usable = ~present & F.col("_left").isNotNull() & F.col("_right").isNotNull() & (gap <= k)
     f = F.try_divide(F.col(t) - F.col("_left.o"), gap + 1)
     out = d.withColumn("flag", F.when(present, "ok").when(usable, "interp").otherwise("gap"))
-    for c in cols:
-        out = out.withColumn(c, F.when(usable, F.col(f"_left.{c}") + f * (F.col(f"_right.{c}") - F.col(f"_left.{c}")))
-                             .otherwise(F.col(c)))
-    return out.drop("_left", "_right")
+    filled = {c: F.when(F.col("flag") == "interp", F.col(f"_left.{c}") + f * (F.col(f"_right.{c}") - F.col(f"_left.{c}")))
+              .otherwise(F.col(c)) for c in cols}
+    return out.withColumns(filled).drop("_left", "_right")
 
 
 def hold_last(series: DataFrame, by: Sequence[str], cols: Sequence[str], t: str = "t", initial: float = 0.0,

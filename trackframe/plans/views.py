@@ -94,8 +94,8 @@ def v_det(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     return e.groupBy(F.col("user_id").alias("clip"), "event_type", _day("ts").alias("t")).agg(
-        (F.avg("value") / 500).alias("cx"), (F.avg(k) / 100).alias("cy"),
-        (F.count(F.lit(1)) * 0.05).alias("w"), (F.avg(k) / 200).alias("h")).select(
+        (F.avg("value") / 503).alias("cx"), (F.avg(k) / 101).alias("cy"),
+        (F.count(F.lit(1)) * 0.05).alias("w"), (F.avg(k) / 203).alias("h")).select(
         "clip", F.col("event_type").alias("track_id"), "t", "cx", "cy", "w", "h", F.col("event_type").alias("label"))
 
 
@@ -104,8 +104,8 @@ def v_day(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     return e.groupBy(F.col("user_id").alias("clip"), _day("ts").alias("t")).agg(
-        (F.avg("value") / 500).alias("cx"), (F.avg(k) / 100).alias("cy"),
-        (F.count(F.lit(1)) * 0.05).alias("w"), (F.avg(k) / 200).alias("h"))
+        (F.avg("value") / 503).alias("cx"), (F.avg(k) / 101).alias("cy"),
+        (F.count(F.lit(1)) * 0.05).alias("w"), (F.avg(k) / 203).alias("h"))
 
 
 def v_hist(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def v_poly(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("clip"), "o_orderkey", "o_totalprice",
         F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("long").alias("day"))
     d = dense_index(o, ["clip"], ["day", "o_orderkey"], F.col("day"), name="i", block=64)
-    return d.select("clip", "i", F.col("day").cast("double").alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    return d.select("clip", "i", F.col("day").cast("double").alias("x"), (F.col("o_totalprice") / 997).alias("y"))
 
 
 # The same views in SQL.
@@ -148,18 +148,18 @@ VIEW_SQL = {
         FROM v_vec CROSS JOIN (VALUES """ + ", ".join(f"({i}, '{j}')" for i, j in enumerate(JOINTS)) + """) AS q(j, joint)
         WHERE vec_id % 7 <> 0""",
     "v_det": """SELECT user_id AS clip, event_type AS track_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t,
-        avg(value) / 500e0 AS cx, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 100e0 AS cy, count(*) * 0.05e0 AS w,
-        avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 200e0 AS h, event_type AS label
+        avg(value) / 503e0 AS cx, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 101e0 AS cy, count(*) * 0.05e0 AS w,
+        avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 203e0 AS h, event_type AS label
         FROM events GROUP BY 1, 2, 3""",
     "v_day": """SELECT user_id AS clip, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t,
-        avg(value) / 500e0 AS cx, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 100e0 AS cy, count(*) * 0.05e0 AS w,
-        avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 200e0 AS h
+        avg(value) / 503e0 AS cx, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 101e0 AS cy, count(*) * 0.05e0 AS w,
+        avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 203e0 AS h
         FROM events GROUP BY 1, 2""",
     "v_hist": """SELECT user_id AS session, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, event_id,
         CASE event_type WHEN 'signup' THEN 'good' WHEN 'error' THEN 'wrong_class' ELSE 'tune' END AS verdict,
         least(1e0, value / 100e0) AS score, event_type <> 'view' AS has_deltas FROM events""",
     "v_poly": """SELECT o_custkey AS clip, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) - 1 AS BIGINT) AS i,
-        CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, o_totalprice / 1000e0 AS y FROM orders""",
+        CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, o_totalprice / 997e0 AS y FROM orders""",
 }
 # What each SQL view reads from the others.
 VIEW_NEEDS = {"v_cells": ["v_vec"], "v_flow": ["v_vec"], "v_pixels": ["v_signal"], "v_pose_frames": ["v_vec"], "v_pose": ["v_vec"]}
