@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions.scalar import TWO_PI, col, deg180, hann, parabolic_offset
+from trackframe.session import checkpoint
 
 BLOCK = 4096
 SALTS = 32
@@ -388,3 +389,34 @@ def circular_mean(df: DataFrame, by: Sequence[str], angle: Column) -> DataFrame:
     """atan2 of summed sines and cosines, with the resultant length; null angles are left out."""
     return df.groupBy(*by).agg(F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle))).alias("mean_angle"),
                                (F.hypot(F.sum(F.sin(angle)), F.sum(F.cos(angle))) / F.count(angle)).alias("resultant"))
+
+
+# ---------------------------------------------------------------- ranking
+
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", salts: int = SALTS) -> DataFrame:
+    """The first k rows of each group in `order`, numbered from 1. `order` must be a total order.
+
+    Ranked twice: inside salted parts first, so at most salts * k rows of a group meet in one task.
+    """
+    by = list(by)
+    rest = [c for c in df.columns if c not in by]
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.lit(salts)))
+    part = part.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_r") <= k)
+    out = part.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    return out.filter(F.col(rank) <= k).drop("_salt", "_r")
+
+
+def sorted_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Number the rows of each group from 1 in any total `order`, without a window over a whole group.
+
+    The table is range-partitioned on (by, order), so a hot group spans many partitions; each
+    partition counts its rows per group and the running counts give every row its rank.
+    """
+    by = list(by)
+    laid = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id())
+    laid = checkpoint(laid)
+    over = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    base = laid.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_p", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(W.partitionBy(*by, "_p").orderBy(*order))
+    return laid.join(base, by + ["_p"]).withColumn(name, (F.col("_base") + inside).cast("long")).drop("_p", "_base")

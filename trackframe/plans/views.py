@@ -112,7 +112,7 @@ def v_hist(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("session"), "ts", "event_id", "event_type",
         F.least(F.col("value") / 100, F.lit(1.0)).alias("score"))
-    d = dense_index(e, ["session"], ["ts", "event_id"], F.unix_seconds("ts"), name="i", block=86400)
+    d = dense_index(e, ["session"], ["ts", "event_id"], F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) * 24 + F.hour("ts"), name="i", block=6)
     verdict = F.when(F.col("event_type") == "signup", "good").when(F.col("event_type") == "error", "wrong_class").otherwise("tune")
     return d.select("session", "i", "event_id", verdict.alias("verdict"), "score", (F.col("event_type") != "view").alias("has_deltas"))
 
