@@ -420,3 +420,27 @@ def sorted_index(df: DataFrame, by: Sequence[str], order: Sequence[Column], name
         *by, "_p", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
     inside = F.row_number().over(W.partitionBy(*by, "_p").orderBy(*order))
     return laid.join(base, by + ["_p"]).withColumn(name, (F.col("_base") + inside).cast("long")).drop("_p", "_base")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], cols: Mapping[str, Column | str], p: float = 0.5, upper: bool = False) -> DataFrame:
+    """Exact quantile of each expression per group, nulls left out: (by, one column per expression).
+
+    Interpolated between the two middle ranks, or with `upper` the value at rank n // 2 itself. The
+    built-in exact percentiles hold a group's values in one task's memory; here the values are ranked
+    across range partitions and only the rows at the wanted ranks are kept.
+    """
+    by = list(by)
+    rec = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), col(c).cast("double").alias("_val")) for n, c in cols.items()]))
+    long = df.select(*by, rec.alias("_r")).select(*by, "_r.*").filter(F.col("_val").isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    key = by + ["_name"]
+    ranked = sorted_index(long, key, [F.col("_val"), F.col("_tie")], "_rank")
+    n = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    d = salted_join(ranked, n, key, ["_tie"])
+    h = (F.col("_n") - 1) * p
+    at = F.col("_rank") - 1
+    if upper:
+        d = d.filter(at == F.floor(F.col("_n") / 2)).withColumn("_w", F.lit(1.0))
+    else:
+        d = d.filter((at == F.floor(h)) | (at == F.ceil(h))).withColumn("_w", F.when(F.floor(h) == F.ceil(h), 1.0).otherwise(1 - F.abs(h - at)))
+    val = d.groupBy(*key).agg(F.sum(F.col("_w") * F.col("_val")).alias("_q"))
+    return val.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(c) for c in cols])
