@@ -168,11 +168,10 @@ def camera_static(spark, sf):
     return c.select("clip", "is_static", "model", "residual_px", F.size("warnings").alias("warnings"))
 
 
-@query("compose_transforms", with_views("""SELECT clip, i, round(ca, 4) + 0e0 AS a, round(cb, 4) + 0e0 AS b, round(cx, 3) + 0e0 AS tx, round(cy, 3) + 0e0 AS ty FROM (WITH RECURSIVE cum AS (SELECT DISTINCT clip, CAST(0 AS BIGINT) AS i, 1e0 AS ca, 0e0 AS cb, 0e0 AS cx, 0e0 AS cy FROM par UNION ALL
+@query("compose_transforms", with_views("""SELECT clip, i, round(ca, 6) + 0e0 AS a, round(cb, 6) + 0e0 AS b, round(cx, 6) + 0e0 AS tx, round(cy, 6) + 0e0 AS ty FROM (WITH RECURSIVE cum AS (SELECT DISTINCT clip, CAST(0 AS BIGINT) AS i, 1e0 AS ca, 0e0 AS cb, 0e0 AS cx, 0e0 AS cy FROM par UNION ALL
     SELECT p.clip, p.t + 1, p.a * ca - p.b * cb, p.b * ca + p.a * cb, p.a * cx - p.b * cy + p.tx, p.b * cx + p.a * cy + p.ty FROM cum c JOIN par p ON p.clip = c.clip AND p.t = c.i) SELECT * FROM cum)""", ["v_vec"], PAIR))
 def compose_transforms(spark, sf):
-    c = mk.compose_transforms(_pairs(spark, sf))
-    return c.select("clip", "i", fixed(F.col("a"), 4).alias("a"), fixed(F.col("b"), 4).alias("b"), fixed(F.col("tx"), 3).alias("tx"), fixed(F.col("ty"), 3).alias("ty"))
+    return mk.compose_transforms(_pairs(spark, sf))
 
 
 @query("camera_residual", with_views("""SELECT f.clip, f.t, y, x, round(CASE WHEN f.clip % 3 = 0 THEN vx ELSE vx - (a * x - b * y + tx - x) END, 4) + 0e0 AS vx, round(CASE WHEN f.clip % 3 = 0 THEN vy ELSE vy - (b * x + a * y + ty - y) END, 4) + 0e0 AS vy FROM v_flow f JOIN par p ON p.clip = f.clip AND p.t = f.t""", ["v_flow", "v_vec"], PAIR))
@@ -191,9 +190,6 @@ def depth_summary(spark, sf):
 
 # ---------------------------------------------------------------- cloth
 
-RGB = "SELECT row_number() OVER () AS i, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_orderkey % 256 AS b FROM lineitem"
-
-
 @query("color_key", """SELECT key, count(*) AS px FROM (SELECT unnest(['red', 'green', 'blue', 'dark']) AS key) JOIN (SELECT l_partkey % 256 AS r, l_suppkey * 7 % 256 AS g, l_orderkey % 256 AS b FROM lineitem) ON
     CASE key WHEN 'red' THEN r > 80 AND r - g > 45 AND r - b > 35 WHEN 'green' THEN g > 80 AND g - r > 40 AND g - b > 30 WHEN 'blue' THEN b > 80 AND b - r > 40 AND b - g > 30 ELSE r < 70 AND g < 70 AND b < 70 END GROUP BY key""")
 def color_key(spark, sf):
