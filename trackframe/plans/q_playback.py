@@ -11,7 +11,8 @@ from trackframe.operators import flow as fl
 from trackframe.operators import playback as pb
 from trackframe.operators import pose as ps
 from trackframe.plans.analyze import analyze_batch
-from trackframe.plans.q_flow import MASKED, TRACKS, _mask, dial_steps
+from trackframe.plans.q_flow import MASKED, SPARSE, TRACKS, _mask, dial_steps
+from trackframe.plans.q_flow import ORACLE as FLOW_SQL
 from trackframe.plans.q_masks import LINE, _line
 from trackframe.plans.q_pose import TRK, _limbs
 from trackframe.plans.views import table, v_boxes, v_cells, v_clips, v_det, v_flow, v_hist, v_pose, with_views
@@ -172,7 +173,7 @@ def move_steps(src: str, name: str) -> dict[str, str]:
     X, Y, T_ = "(seed * 40)", "(seed * 70)", "(t + seed)"
     tx = f"({_n(f'{X} * 0.015e0 + {T_} * 1.7e0 + 5.2e0')} - 0.5e0) * 2 + ({_n(f'{X} * 0.045e0 + {T_} * 3.1e0 + {Y} * 0.03e0')} - 0.5e0)"
     ty = f"({_n(f'{Y} * 0.015e0 + {T_} * 1.9e0 + 91.7e0')} - 0.5e0) * 2 + ({_n(f'{Y} * 0.045e0 + {T_} * 2.7e0 + {X} * 0.03e0')} - 0.5e0)"
-    return {f"{name}1": f"SELECT *, {e} AS env, {tx} AS tux, {ty} AS tuy, sin(2 * {PI} * frequency * t + seed * phasespread * 3) AS osc, CASE WHEN fmod(t, 10e0) / 10 < 0.85e0 THEN fmod(t, 10e0) / 10 / 0.85e0 ELSE (1 - fmod(t, 10e0) / 10) / 0.15e0 END AS lp FROM {src}",
+    return {f"{name}1": f"SELECT *, {e} AS env, {tx} AS tux, {ty} AS tuy, sin(2 * {PI} * frequency * t + seed * phasespread * 3) AS osc, CASE WHEN (t - 10 * trunc(t / 10)) / 10 < 0.85e0 THEN (t - 10 * trunc(t / 10)) / 10 / 0.85e0 ELSE (1 - (t - 10 * trunc(t / 10)) / 10) / 0.15e0 END AS lp FROM {src}",
             name: f"SELECT *, amplitude * 16 * gain * env * osc * cos(radians(direction)) + turbulence * 11 * tux * env * gain + driftx * 26 * lp * gain AS dx, -amplitude * 16 * gain * env * osc * sin(radians(direction)) + turbulence * 11 * tuy * env * gain + drifty * 26 * lp * gain AS dy, degrees(0.06e0 * amplitude * gain * env * cos(2 * {PI} * frequency * t)) AS rot FROM {name}1"}
 
 
@@ -201,11 +202,11 @@ BAKE = {**MOTION, "bk": "SELECT *, CASE WHEN driftx <> 0 OR drifty <> 0 THEN 10e
         "ba": "SELECT *, k / CAST(steps AS DOUBLE) AS frac, k / CAST(steps AS DOUBLE) * span AS t FROM bs JOIN (SELECT unnest(range(0, 201)) AS k) ON k <= steps", "bb": "SELECT * REPLACE (t - span AS t) FROM ba", **move_steps("ba", "va"), **move_steps("bb", "vb")}
 
 
-@query("bake_keyframes", with_views("""SELECT a.id, a.k, round(a.frac, 6) AS frac, round(CASE WHEN a.frac > 0.88e0 THEN a.dx * (1 - (a.frac - 0.88e0) / 0.12e0) + b.dx * ((a.frac - 0.88e0) / 0.12e0) ELSE a.dx END, 2) + 0e0 AS dx,
-    round(CASE WHEN a.frac > 0.88e0 THEN a.rot * (1 - (a.frac - 0.88e0) / 0.12e0) + b.rot * ((a.frac - 0.88e0) / 0.12e0) ELSE a.rot END, 3) + 0e0 AS rot FROM va a JOIN vb b ON a.id = b.id AND a.k = b.k""", [], {k: v.replace(" WHERE id % 8 = 3", "") for k, v in BAKE.items()}))
+@query("bake_keyframes", with_views("""SELECT a.id, a.k, round(a.frac, 6) AS frac, round(CASE WHEN a.frac > 0.88e0 THEN a.dx * (1 - (a.frac - 0.88e0) / 0.12e0) + b.dx * ((a.frac - 0.88e0) / 0.12e0) ELSE a.dx END, 5) + 0e0 AS dx,
+    round(CASE WHEN a.frac > 0.88e0 THEN a.rot * (1 - (a.frac - 0.88e0) / 0.12e0) + b.rot * ((a.frac - 0.88e0) / 0.12e0) ELSE a.rot END, 5) + 0e0 AS rot FROM va a JOIN vb b ON a.id = b.id AND a.k = b.k""", [], {k: v.replace(" WHERE id % 8 = 3", "") for k, v in BAKE.items()}))
 def bake_keyframes(spark, sf):
     b = pb.bake_keyframes(_motions(spark, sf), ["id"])
-    return b.select("id", "k", F.round("frac", 6).alias("frac"), fixed(F.col("dx"), 2).alias("dx"), fixed(F.col("rot"), 3).alias("rot"))
+    return b.select("id", "k", F.round("frac", 6).alias("frac"), fixed(F.col("dx"), 5).alias("dx"), fixed(F.col("rot"), 5).alias("rot"))
 
 
 @query("heading", """SELECT id, round(CASE WHEN still THEN ax ELSE mx / CASE WHEN sqrt(mx * mx + my * my) = 0 THEN 1 ELSE sqrt(mx * mx + my * my) END END, 5) + 0e0 AS hx, round(CASE WHEN still THEN ay ELSE my / CASE WHEN sqrt(mx * mx + my * my) = 0 THEN 1 ELSE sqrt(mx * mx + my * my) END END, 5) + 0e0 AS hy FROM (
@@ -306,17 +307,22 @@ def _events(spark, sf):
 def judge_stream(spark, sf):
     e = F.col("event_type")
     verdict = F.when(e == "signup", "good").when(e == "error", "wrong_class").otherwise("tune")
-    v = _events(spark, sf).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), verdict.alias("verdict"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), (e != "view").alias("has_deltas"))
+    v = _events(spark, sf).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), verdict.alias("verdict"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), (e != "view").alias("has_deltas"))
     return sj.drain(sj.judge_stream(v), "judge").select("session", "seq", "iteration", "go", "reason", "stopped")
 
 
-@query("distill_windows")
+SPARSE_BODY = FLOW_SQL["distill_sparse"][FLOW_SQL["distill_sparse"].rindex("SELECT clip, round(frequency"):]
+STREAMED = {"ev": "SELECT ts, CAST(floor(epoch(ts) / 43200) AS BIGINT) AS clip, event_id // 4 AS t, event_id // 2 % 2 AS gy, event_id % 2 AS gx, value / 50 - 1 AS vx, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50 - 1 AS vy, event_type <> 'error' AS valid FROM events",
+            "vld": "SELECT clip, t - min(t) OVER (PARTITION BY clip) AS t, gy, gx, vx, vy, valid FROM ev WHERE (clip + 1) * 43200 <= (SELECT epoch(max(ts)) - 3600 FROM events)",
+            "v_clips": "SELECT DISTINCT clip, 30e0 AS fps FROM vld", **{k: v for k, v in SPARSE.items() if k != "vld"}}
+
+
+@query("distill_windows", with_views(SPARSE_BODY, [], STREAMED))
 def distill_windows(spark, sf):
-    # a user's events as flow samples: the hour is the frame, two-day windows, two cells by id
+    # four cells by event number, twelve-hour windows
     k = F.get_json_object("props", "$.k").cast("double")
-    ts = F.col("ts").cast("timestamp")
-    s = _events(spark, sf).select(F.lit(1).cast("long").alias("clip"), ts.alias("ts"), F.floor(F.unix_seconds(ts) / 3600).alias("t"), (F.col("event_id") % 2).alias("gy"), (F.floor(F.col("event_id") / 2) % 2).alias("gx"),
+    i = F.col("event_id")
+    s = _events(spark, sf).select(F.lit(1).cast("long").alias("clip"), F.col("ts").cast("timestamp").alias("ts"), F.floor(i / 4).alias("t"), (F.floor(i / 2) % 2).alias("gy"), (i % 2).alias("gx"),
                                   (F.col("value") / 50 - 1).alias("vx"), (k / 50 - 1).alias("vy"), (F.col("event_type") != "error").alias("valid"))
-    s = s.withWatermark("ts", "1 hour").groupBy("clip", "gy", "gx", F.window("ts", "1 hour").alias("w")).agg(F.max("t").alias("t"), F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.bool_or("valid").alias("valid"))
-    s = s.select("clip", F.col("w.start").alias("ts"), "t", "gy", "gx", "vx", "vy", "valid")
-    return sw.distill_windows(s, fps=30.0, window="2 days", late="1 hour")
+    d = sw.distill_windows(s, fps=30.0, window="12 hours", late="1 hour")
+    return d.select(F.floor(F.unix_seconds("start") / 43200).alias("clip"), "frequency", "amplitude", "direction", "turbulence", "damping", "phaseSpread")

@@ -31,12 +31,12 @@ def _why(verdict: str, score: float, has_deltas: bool, n: int, before: float | N
     return None
 
 
-def judge_stream(verdicts: DataFrame, ttl: str = "1 day") -> DataFrame:
-    """Decisions for a stream of verdicts (session, seq, verdict, score, has_deltas).
+def judge_stream(verdicts: DataFrame, ttl: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Decisions for a stream of verdicts (session, seq, ts, verdict, score, has_deltas).
 
-    Rows of a session are taken in `seq` order within a batch. After a stop, further verdicts are answered
-    `stopped` until a row with verdict 'reset'. A session's state is six values; it expires after `ttl`
-    without input, which replaces a fixed number of sessions.
+    Rows are taken in arrival order, by `seq` within a chunk. After a stop, further verdicts are answered
+    `stopped` until a row with verdict 'reset'. A session's state is six values; it expires once event time
+    has moved `ttl` past its last row, which replaces a fixed number of sessions.
     """
     millis = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
@@ -45,7 +45,9 @@ def judge_stream(verdicts: DataFrame, ttl: str = "1 day") -> DataFrame:
             state.remove()
             return
         n, before, best, best_i, stopped, reason = state.get if state.exists else (0, None, None, -1, False, "")
-        for pdf in sorted(batches, key=lambda b: b["seq"].min()):
+        seen = state.getCurrentWatermarkMs()
+        # chunk by chunk in arrival order, so a busy session never has to fit into memory at once
+        for pdf in batches:
             rows = []
             for r in pdf.sort_values("seq").itertuples(index=False):
                 if r.verdict == "reset":
@@ -60,11 +62,13 @@ def judge_stream(verdicts: DataFrame, ttl: str = "1 day") -> DataFrame:
                 why = _why(r.verdict, r.score, bool(r.has_deltas), n, before)
                 before, stopped, reason = float(r.score), why is not None, why or "score is still improving"
                 rows.append((r.session, r.seq, r.verdict, r.score, n, not stopped, reason, best_i, False))
+            seen = max(seen, int(pdf["ts"].max().timestamp() * 1000))
             yield pd.DataFrame(rows, columns=["session", "seq", "verdict", "score", "iteration", "go", "reason", "best", "stopped"])
         state.update((n, before, best, best_i, stopped, reason))
-        state.setTimeoutDuration(millis)
+        state.setTimeoutTimestamp(seen + millis)
 
-    return verdicts.groupBy("session").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = verdicts.withWatermark("ts", late)
+    return timed.groupBy("session").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
