@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +30,31 @@ def build_session(app: str = "trackframe", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the one the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset (tests on one machine) does a temporary folder stand in.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/trackframe-{name}-{uuid.uuid4().hex}"
+    return f"{_local_folder()}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="trackframe-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+    """Cut the lineage of `df` by writing it to the shared folder and reading it back.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only when that is
-    unset (tests on one machine) is a folder made here.
+    The files outlive any executor, and their real size reaches the planner: estimates of a
+    many-step plan would otherwise multiply with every join.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackframe-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def on_cluster(spark: SparkSession) -> bool:

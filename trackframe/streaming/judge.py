@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackframe import dims
+from trackframe.session import shared_folder
 
 STATE = "n long, before double, best double, best_i long, stopped boolean, reason string"
 OUT = "session long, seq long, verdict string, score double, iteration long, go boolean, reason string, best long, stopped boolean"
@@ -71,15 +71,6 @@ def judge_stream(verdicts: DataFrame, ttl: str = "1 day", late: str = "1 hour")
     return timed.groupBy("session").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared one; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"trackframe-{name}-")
-
-
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything available now into a table and read it back."""
     spark = stream.sparkSession

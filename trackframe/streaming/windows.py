@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.operators.flow import distill_sparse
-from trackframe.streaming.judge import shared_folder
+from trackframe.session import shared_folder
 
 WINDOW, LATE = "4 seconds", "2 seconds"
 
