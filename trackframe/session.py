@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -33,11 +34,14 @@ def build_session(app: str = "trackframe", master: str | None = None, **extra: s
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the one the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) does a temporary folder stand in.
+    Where driver and executors are one process (tests on one machine) and that is unset, a temporary
+    folder stands in; on a cluster it must be set, since executors don't share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/trackframe-{name}-{uuid.uuid4().hex}"
+        return f"{base.rstrip('/')}/trackframe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if on_cluster(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{_local_folder()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,7 +62,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def on_cluster(spark: SparkSession) -> bool:
-    return not spark.sparkContext.master.startswith("local")
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None
+
+
+def clear_steps(spark: SparkSession) -> bool:
+    """Delete the written steps of this session, once nothing reads them any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/trackframe-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def default_master() -> str:
