@@ -41,14 +41,16 @@ def resolve_route(requests: DataFrame, engines: DataFrame) -> DataFrame:
     """Adds engine and reason for requests (class, subject_type, count, has_text_prompt).
 
     The rules of a class and the state of their engines become one array per class. Each request
-    then picks its first matching rule and that rule's first available engine inside its own row.
+    then picks its first matching rule and that rule's first available engine inside its own row. A
+    rule none of whose engines is registered still matches, and ends on its class's floor.
     """
     spark = requests.sparkSession
     rules = dims.route_rules(spark).withColumn("floor", dims.lookup(F.col("class"), dims.CLASS_FLOOR))
     state = engines.select(F.col("name").alias("_e"), F.struct(F.col("name").alias("name"), "available", "reason").alias("st"))
     exploded = rules.select("class", "rule_no", "subject_type", "count", "has_text_prompt", "floor", F.posexplode("engines").alias("pos", "_e"))
-    listed = exploded.join(state, "_e").groupBy("class", "rule_no", "subject_type", "count", "has_text_prompt", "floor").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "st"))), lambda x: x.getField("st")).alias("engines"))
+    there = F.when(F.col("st").isNotNull(), F.struct("pos", "st"))
+    listed = exploded.join(state, "_e", "left").groupBy("class", "rule_no", "subject_type", "count", "has_text_prompt", "floor").agg(
+        F.transform(F.array_sort(F.collect_list(there)), lambda x: x.getField("st")).alias("engines"))
     per_class = listed.groupBy("class").agg(
         F.array_sort(F.collect_list(F.struct("rule_no", "subject_type", "count", "has_text_prompt", "engines"))).alias("_rules"), F.max("floor").alias("_floor"))
     # six classes, thirteen rules: a fixed table
@@ -110,11 +112,20 @@ def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str,
 
     Points are hashed to grid cells of side `cell`. A first search looks at the 3 x 3 cells around each
     point; whoever found nothing closer than one cell searches again in cells twice as large, until
-    everyone is served. No search compares all pairs of a group.
+    everyone is served. No search compares all pairs of a group. A point with a null, NaN or infinite
+    coordinate is near nothing and nothing is near it: it comes out with a null partner.
     """
     by = list(by)
-    todo = checkpoint(a.join(b.select(*by).distinct(), by, "left_semi").select(*by, a_id, "ax", "ay"))
-    done, size = None, float(cell)
+
+    def real(*cols: str) -> Column:
+        return reduce(lambda p, q: p & q, [F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)) for c in map(F.col, cols)])
+
+    b = b.filter(real("bx", "by_"))
+    kind = dict(b.dtypes)[b_id]
+    met = a.join(b.select(*by).distinct(), by, "left_semi").select(*by, a_id, F.col("ax").cast("double").alias("ax"), F.col("ay").cast("double").alias("ay"))
+    lost = met.filter(~real("ax", "ay")).select(*by, a_id, F.lit(None).cast(kind).alias(b_id), F.lit(None).cast("double").alias("distance"))
+    todo = checkpoint(met.filter(real("ax", "ay")))
+    done, size = lost, float(cell)
     while not todo.isEmpty():
         ring = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         bb = b.select(*by, b_id, "bx", "by_", F.floor(F.col("bx") / size).alias("cx"), F.floor(F.col("by_") / size).alias("cy"))
@@ -124,29 +135,32 @@ def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str,
         best = near.groupBy(*by, a_id).agg(F.min(F.struct(d2.alias("d2"), b_id)).alias("_b"))
         # within one cell's width nothing outside the 3 x 3 block can be closer
         found = checkpoint(best.filter(F.col("_b.d2") <= size * size).select(*by, a_id, F.col(f"_b.{b_id}").alias(b_id), F.sqrt("_b.d2").alias("distance")))
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         todo = checkpoint(todo.join(found.select(*by, a_id), by + [a_id], "left_anti"))
         size *= 2
-    return done if done is not None else a.limit(0).select(*by, a_id, F.lit(None).cast("long").alias(b_id), F.lit(0.0).alias("distance"))
+    return done
 
 
 # ---------------------------------------------------------------- layer trees
 
-def ancestors(layers: DataFrame, by: Sequence[str] = ("art",), max_depth: int = 32) -> DataFrame:
+def ancestors(layers: DataFrame, by: Sequence[str] = ("art",)) -> DataFrame:
     """(by, id, ancestor, depth) of an adjacency list (by, id, parent); depth 1 is the parent.
 
-    One equi-join per level, keyed by (by, parent), until no level is left.
+    The known steps are doubled until nothing new is reached, so a chain of any depth takes about as
+    many joins as the logarithm of its length. On a cycle every layer is met once, at its least depth.
     """
     by = list(by)
-    up = layers.select(*by, F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-    level = checkpoint(layers.filter(F.col("parent").isNotNull()).select(*by, "id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
-    out = level
-    for _ in range(max_depth):
-        level = checkpoint(level.join(up, by + ["ancestor"]).filter(F.col("next").isNotNull()).select(*by, "id", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise RuntimeError("the layer tree is deeper than max_depth")
+    link = layers.filter(F.col("parent").isNotNull()).select(*by, "id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    out = checkpoint(link.groupBy(*by, "id", "ancestor").agg(F.min("depth").alias("depth")))
+    n = out.count()
+    while n:
+        step = out.select(*by, F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        further = out.join(step, by + ["ancestor"]).select(*by, "id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        out = checkpoint(out.unionByName(further).groupBy(*by, "id", "ancestor").agg(F.min("depth").alias("depth")))
+        before, n = n, out.count()
+        if n == before:
+            break
+    return out
 
 
 def figure_of(limbs: DataFrame, layers: DataFrame, by: Sequence[str] = ("art",)) -> DataFrame:
@@ -165,25 +179,42 @@ def figure_of(limbs: DataFrame, layers: DataFrame, by: Sequence[str] = ("art",))
 def layer_cover(layers: DataFrame, by: Sequence[str] = ("art",), max_cover: float = 0.9, max_depth: int = 3, cap: int = dims.MAX_LAYERS) -> DataFrame:
     """The layers worth labelling, in order: covering groups are opened (up to three levels), covering leaves dropped.
 
-    `layers` has id, parent, pos (order among siblings), name, w, h normalized. The first `cap` are kept
-    as L1, L2, ..; the order is that of walking the tree.
+    `layers` has id, parent, pos (order among siblings, any number), name, w, h normalized. The first
+    `cap` are kept as L1, L2, ..; the order is that of walking the tree. What is left out comes from
+    `layer_cover_rest`.
     """
+    walked = _walked(layers, by, max_cover, max_depth)
+    ranked = top_k(walked.filter("why is null").drop("why"), list(by), [F.col("path"), F.col("id")], cap)
+    return ranked.select(*by, F.concat(F.lit("L"), F.col("rank")).alias("label_id"), "rank", "id", "name")
+
+
+def layer_cover_rest(layers: DataFrame, by: Sequence[str] = ("art",), max_cover: float = 0.9, max_depth: int = 3, cap: int = dims.MAX_LAYERS) -> DataFrame:
+    """(by, id, name, why) of the layers met in the walk but not labelled: 'covers the canvas' or 'over the cap'."""
+    by = list(by)
+    walked = _walked(layers, by, max_cover, max_depth)
+    shown = layer_cover(layers, by, max_cover, max_depth, cap).select(*by, "id")
+    rest = walked.join(shown, by + ["id"], "left_anti")
+    return rest.select(*by, "id", "name", F.coalesce("why", F.lit("over the cap")).alias("why"))
+
+
+def _walked(layers: DataFrame, by: Sequence[str], max_cover: float, max_depth: int) -> DataFrame:
+    """(by, id, name, path, why): layers in the order of the walk, why they are not to be labelled or null."""
     by = list(by)
     kids = layers.filter(F.col("parent").isNotNull()).select(*by, F.col("parent").alias("id")).distinct().withColumn("has_kids", F.lit(True))
     full = layers.join(kids, by + ["id"], "left").withColumn("cover", F.col("w") * F.col("h")).withColumn("has_kids", F.coalesce("has_kids", F.lit(False)))
     full = checkpoint(full.withColumn("big", F.col("cover") > max_cover))
-    key = F.lpad(F.col("pos").cast("string"), 12, "0")
+    key = F.array("pos")
     level = full.filter(F.col("parent").isNull()).withColumn("path", key)
     out = None
     for depth in range(max_depth + 1):
-        found = level.filter(~F.col("big")).select(*by, "id", "name", "path")
+        why = F.when(F.col("big"), "covers the canvas")
+        found = level.filter(~F.col("big") | ~F.col("has_kids") | F.lit(depth == max_depth)).select(*by, "id", "name", "path", why.alias("why"))
         out = found if out is None else out.unionByName(found)
         if depth == max_depth:
             break
         opened = level.filter(F.col("big") & F.col("has_kids")).select(*by, F.col("id").alias("parent"), F.col("path").alias("_up"))
-        level = full.join(opened, by + ["parent"]).withColumn("path", F.concat("_up", F.lit("/"), key)).drop("_up")
-    ranked = top_k(out, by, [F.col("path")], cap)
-    return ranked.select(*by, F.concat(F.lit("L"), F.col("rank")).alias("label_id"), "rank", "id", "name")
+        level = full.join(opened, by + ["parent"]).withColumn("path", F.concat("_up", key)).drop("_up")
+    return out
 
 
 def limb_chain(limbs: DataFrame, by: Sequence[str] = ("figure",)) -> DataFrame:

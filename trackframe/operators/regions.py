@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackframe.functions.scalar import half_even, suggest_name
 from trackframe.operators import flow as fl
-from trackframe.operators.series import group_stats, salted_join
+from trackframe.operators.series import group_stats, salted_join, top_k
 from trackframe.session import checkpoint
 
 # Fixed thresholds.
@@ -91,24 +92,19 @@ def merge_circular_bins(sig: DataFrame, by: Sequence[str] = ("clip",)) -> DataFr
     return d.join(F.broadcast(lookup), ["_ring", "_mask", "bin"]).drop("_ring", "_mask")
 
 
-WIDE = 1 << 20
-
-
-def components8(cells: DataFrame, by: Sequence[str], y: str = "gy", x: str = "gx", max_rounds: int = 60) -> DataFrame:
-    """Label 8-connected components; `comp` is the smallest cell id (y * 2^20 + x) of the component.
+def components8(cells: DataFrame, by: Sequence[str], y: str = "gy", x: str = "gx") -> DataFrame:
+    """Label 8-connected components; `comp` is a struct (y, x), the first cell of the component by row and column.
 
     Each round takes the smallest label among neighbours, then jumps to that label's own label, so
     long shapes settle in a logarithmic number of rounds. Lineage is cut every round.
     """
     by = list(by)
-    node = F.col(y).cast("long") * WIDE + F.col(x).cast("long")
-    nodes = checkpoint(cells.select(*by, node.alias("v")).distinct())
-    offsets = [dy * WIDE + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    reach = nodes.withColumn("w", F.explode(F.array(*[F.col("v") + o for o in offsets])))
-    # columns stop short of 2^20, so a step off a row's end never lands on another row's cell
-    edges = checkpoint(reach.join(nodes.withColumnRenamed("v", "w"), by + ["w"], "left_semi"))
+    cell = F.struct(F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x"))
+    nodes = checkpoint(cells.select(*by, cell.alias("v")).distinct())
+    step = [F.struct((F.col("v.y") + dy).alias("y"), (F.col("v.x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    edges = checkpoint(nodes.withColumn("w", F.explode(F.array(*step))).join(nodes.withColumnRenamed("v", "w"), by + ["w"], "left_semi"))
     label = nodes.withColumn("l", F.col("v"))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(label.select(*by, F.col("v").alias("w"), F.col("l").alias("lw")), by + ["w"])
         near = near.groupBy(*by, "v").agg(F.min("lw").alias("m"))
         low = checkpoint(label.join(near, by + ["v"], "left")
@@ -119,9 +115,7 @@ def components8(cells: DataFrame, by: Sequence[str], y: str = "gy", x: str = "gx
         label = nxt.select(*by, "v", "l")
         if nxt.filter(F.col("l") != F.col("old")).isEmpty():
             break
-    else:
-        raise RuntimeError("components8 did not settle; raise max_rounds")
-    ids = label.select(*by, F.floor(F.col("v") / WIDE).alias(y), F.pmod(F.col("v"), F.lit(WIDE)).alias(x), F.col("l").alias("comp"))
+    ids = label.select(*by, F.col("v.y").alias(y), F.col("v.x").alias(x), F.col("l").alias("comp"))
     return cells.join(ids, by + [y, x])
 
 
@@ -130,8 +124,8 @@ def largest_component(mask: DataFrame, by: Sequence[str] = ("clip",), y: str = "
     by = list(by)
     c = components8(mask, by, y, x)
     size = c.groupBy(*by, "comp").agg(F.count(F.lit(1)).alias("_n"))
-    best = size.groupBy(*by).agg(F.max(F.struct("_n", (-F.col("comp")).alias("neg"))).alias("_b"))
-    keep = best.select(*by, (-F.col("_b.neg")).alias("comp"))
+    best = size.groupBy(*by).agg(F.min(F.struct((-F.col("_n")).alias("neg"), "comp")).alias("_b"))
+    keep = best.select(*by, F.col("_b.comp").alias("comp"))
     return c.join(keep, by + ["comp"], "left_semi").drop("comp")
 
 
@@ -145,17 +139,14 @@ def region_bbox(cells: DataFrame, by: Sequence[str], grid: Column) -> DataFrame:
 def top_regions(regions: DataFrame, by: Sequence[str] = ("clip",)) -> DataFrame:
     """Regions of at least four cells, the strongest plus those with a quarter of its energy, at most eight.
 
-    Needs cells, energy and, for ties, kind and comp. Adds region (0 is the strongest). At most
-    eight rows per clip survive the first aggregate, so ranking is never a large window.
+    Needs cells, energy and, for ties, kind and comp. Adds region (0 is the strongest). Ranked in salted
+    parts first, so no clip's regions meet in one task beyond a few of each part.
     """
     by = list(by)
     big = regions.filter(F.col("cells") >= MIN_CELLS)
-    rec = F.struct((-F.col("energy")).alias("neg"), F.when(F.col("kind") == "drift", 0).otherwise(1).alias("k"),
-                   *[F.col(c) for c in regions.columns if c not in by and c not in ("kind",)], F.col("kind"))
-    ranked = big.groupBy(*by, F.pmod(F.col("comp"), F.lit(64)).alias("_part")).agg(F.slice(F.array_sort(F.collect_list(rec)), 1, MAX_REGIONS).alias("_r"))
-    top = ranked.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_r"))), 1, MAX_REGIONS).alias("_r"))
-    d = top.select(*by, F.get("_r", F.lit(0)).getField("energy").alias("_top"), F.posexplode("_r").alias("region", "_x"))
-    d = d.select(*by, "_top", F.col("region").cast("long"), *[F.col(f"_x.{c}").alias(c) for c in regions.columns if c not in by])
+    order = [F.desc("energy"), F.when(F.col("kind") == "drift", 0).otherwise(1), F.col("comp")]
+    top = top_k(big, by, order, MAX_REGIONS, "region").withColumn("region", F.col("region") - 1)
+    d = top.withColumn("_top", F.max("energy").over(W.partitionBy(*by)))
     return d.filter((F.col("region") == 0) | (F.col("energy") >= F.col("_top") * KEEP_FRACTION)).drop("_top")
 
 

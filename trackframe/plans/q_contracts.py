@@ -381,12 +381,12 @@ def known_ids(spark, sf):
 
 
 MATCH = {"sw": "SELECT s_suppkey AS idx, s_nationkey AS class, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier",
-         "lb": "SELECT *, row_number() OVER (PARTITION BY class ORDER BY confidence DESC, pos) AS rn FROM (SELECT c_custkey AS pos, c_custkey AS id, c_nationkey AS class, greatest(0e0, least(1e0, c_acctbal / 10000e0)) AS confidence FROM customer WHERE c_custkey % 40 = 0) WHERE confidence >= 0.35e0"}
+         "lb": "SELECT *, row_number() OVER (PARTITION BY class ORDER BY confidence DESC, pos) AS rn FROM (SELECT c_custkey AS pos, c_custkey AS id, c_nationkey AS class, greatest(0e0, least(1e0, c_acctbal / 10000e0)) AS confidence FROM customer) WHERE confidence >= 0.35e0"}
 
 
 def _match(spark, sf):
     sw = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").cast("string").alias("class"))
-    lb = table(spark, sf, "customer").filter("c_custkey % 40 = 0").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("class"),
+    lb = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("class"),
                                                                           F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000)).alias("confidence"))
     return mt.match_to_layers(sw, lb)
 
@@ -502,10 +502,10 @@ def layer_cover(spark, sf):
 @query("figure_of", with_views("""SELECT art, id, figure, tier FROM (SELECT art, id, figure, tier, row_number() OVER (PARTITION BY art, id ORDER BY tier, depth) AS rn FROM (
     SELECT u.art, u.id, u.figure, u.depth, CASE WHEN held > 1 AND named THEN 0 WHEN held > 1 THEN 1 WHEN named THEN 2 END AS tier FROM up u JOIN (SELECT art, figure, count(*) AS held FROM up GROUP BY art, figure) USING (art, figure)
     JOIN (SELECT art, id AS figure, name <> '' AS named FROM lay) USING (art, figure)) WHERE tier IS NOT NULL) WHERE rn = 1""", [], {**LAYERS,
-    "lmb": "SELECT art, id, parent FROM lay WHERE id LIKE 'p%' AND pos % 40 = 7", "up": "SELECT art, id, parent AS figure, 1 AS depth FROM lmb UNION ALL SELECT art, id, 'root', 2 FROM lmb"}).replace("SELECT art, id, figure, tier FROM (SELECT art", "SELECT art, id, figure, CAST(tier AS BIGINT) AS tier FROM (SELECT art", 1))
+    "lmb": "SELECT art, id, parent FROM lay WHERE id LIKE 'p%'", "up": "SELECT art, id, parent AS figure, 1 AS depth FROM lmb UNION ALL SELECT art, id, 'root', 2 FROM lmb"}).replace("SELECT art, id, figure, tier FROM (SELECT art", "SELECT art, id, figure, CAST(tier AS BIGINT) AS tier FROM (SELECT art", 1))
 def figure_of(spark, sf):
     lay = _layers(spark, sf)
-    return mt.figure_of(lay.filter("id LIKE 'p%' AND pos % 40 = 7"), lay)
+    return mt.figure_of(lay.filter("id LIKE 'p%'"), lay)
 
 
 @query("ancestors", with_views("""SELECT art, depth, count(*) AS n FROM (SELECT art, id, CAST(1 AS BIGINT) AS depth FROM lay WHERE parent IS NOT NULL UNION ALL SELECT art, id, 2 FROM lay WHERE id LIKE 'p%') GROUP BY art, depth""", [], LAYERS))

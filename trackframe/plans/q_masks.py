@@ -237,14 +237,14 @@ def cloth_extent(spark, sf):
     return cl.cloth_extent(cl.checkpoint(_tracked(spark, sf)), v_clips(spark, sf).select("clip", F.col("frames").alias("n")))
 
 
-TRIM = {"cols": "SELECT o_custkey % 40 AS clip, CAST(o_custkey // 40 AS BIGINT) AS col, avg(o_totalprice) / 60000 * CASE WHEN o_custkey // 40 % 7 = 0 THEN 4 ELSE 1 END AS travel FROM orders WHERE o_custkey // 40 < 38 GROUP BY 1, o_custkey // 40",
+TRIM = {"cols": "SELECT o_custkey % 40 AS clip, CAST(o_custkey // 40 AS BIGINT) AS col, avg(o_totalprice) / 60000 * CASE WHEN o_custkey // 40 % 7 = 0 THEN 4 ELSE 1 END AS travel FROM orders GROUP BY 1, o_custkey // 40",
         "verd": """SELECT *, travel > 3 * greatest(coalesce(median(travel) OVER (PARTITION BY clip ORDER BY col ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), 0e0), 0.05e0) AS bl, travel > 3 * greatest(coalesce(median(travel) OVER (PARTITION BY clip ORDER BY col ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0e0), 0.05e0) AS br FROM cols""",
         "lf": "SELECT s.clip, s.c0, s.c1, least(coalesce((SELECT min(col) FROM verd v WHERE v.clip = s.clip AND v.col >= s.c0 AND NOT bl), s.c1), greatest(s.c0, s.c1 - 20)) AS n0 FROM (SELECT DISTINCT clip, clip % 3 AS c0, 36 - clip % 2 AS c1 FROM cols) s"}
 
 
 @query("trim_edges", with_views("SELECT clip, CAST(n0 AS BIGINT) AS c0, CAST(greatest(coalesce((SELECT max(col) FROM verd v WHERE v.clip = lf.clip AND v.col <= lf.c1 AND NOT br), n0), least(c1, n0 + 20)) AS BIGINT) AS c1 FROM lf", [], TRIM))
 def trim_edges(spark, sf):
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("clip"), F.floor(F.col("o_custkey") / 40).alias("col"), "o_totalprice").filter("col < 38")
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("clip"), F.floor(F.col("o_custkey") / 40).alias("col"), "o_totalprice")
     cols = o.groupBy("clip", "col").agg((F.avg("o_totalprice") / 60000).alias("travel")).withColumn("travel", F.col("travel") * F.when(F.col("col") % 7 == 0, 4).otherwise(1))
     span = cols.select("clip").distinct().select("clip", (F.col("clip") % 3).alias("c0"), (36 - F.col("clip") % 2).alias("c1"))
     return cl.trim_edges(cols, span)

@@ -234,7 +234,16 @@ def limb_rotations(spark, sf):
     return r.select("clip", F.round(F.col("tt") / 0.11, 0).cast("long").alias("k"), "role", fixed(F.col("deg"), 3).alias("deg"))
 
 
-@query("mls_warp")
+WARP = {"ctl": "SELECT clip, CAST(gx AS DOUBLE) AS x, CAST(gy AS DOUBLE) AS y, gx + avg(vx) * 0.1e0 AS qx, gy + avg(vy) * 0.1e0 AS qy FROM v_cells GROUP BY clip, gy, gx",
+        "pts": """SELECT id % 10 AS clip, id AS pid, bx * 4 AS x, "by" * 4 AS y FROM v_boxes""",
+        "pr": "SELECT p.clip, pid, p.x AS vx, p.y AS vy, c.x, c.y, qx, qy, pow(c.x - p.x, 2) + pow(c.y - p.y, 2) AS d2 FROM pts p JOIN ctl c ON c.clip = p.clip",
+        "wt": "SELECT *, 1 / greatest(d2, 1e-9) AS w FROM pr",
+        "mn": "SELECT clip, pid, sum(w * x) / sum(w) AS mpx, sum(w * y) / sum(w) AS mpy, sum(w * qx) / sum(w) AS mqx, sum(w * qy) / sum(w) AS mqy, min(CASE WHEN d2 < 1e-9 THEN {'qx': qx, 'qy': qy} END) AS hit FROM wt GROUP BY clip, pid",
+        "cv": "SELECT clip, pid, any_value(vx - mpx) AS vx, any_value(vy - mpy) AS vy, any_value(mqx) AS mqx, any_value(mqy) AS mqy, any_value(hit) AS hit, sum(w * ((x - mpx) * (qx - mqx) + (y - mpy) * (qy - mqy))) AS re, sum(w * ((x - mpx) * (qy - mqy) - (y - mpy) * (qx - mqx))) AS im FROM wt JOIN mn USING (clip, pid) GROUP BY clip, pid"}
+
+
+@query("mls_warp", with_views("""SELECT clip, pid, round(CASE WHEN hit IS NOT NULL THEN hit.qx ELSE mqx + (re * vx - im * vy) / sqrt(re * re + im * im) END, 5) + 0e0 AS x, round(CASE WHEN hit IS NOT NULL THEN hit.qy ELSE mqy + (im * vx + re * vy) / sqrt(re * re + im * im) END, 5) + 0e0 AS y,
+    round(CASE WHEN hit IS NOT NULL THEN 0e0 ELSE degrees(atan2(im, re)) END, 4) + 0e0 AS rot FROM cv""", ["v_cells", "v_boxes"], WARP))
 def mls_warp(spark, sf):
     # controls: the cells of each clip, moved by their mean flow; points: the order boxes' corners
     c = v_cells(spark, sf).groupBy("clip", "gy", "gx").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy")).select("clip", F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"), (F.col("gx") + F.col("vx") * 0.1).alias("qx"), (F.col("gy") + F.col("vy") * 0.1).alias("qy"))
@@ -253,7 +262,7 @@ def detail_filter(spark, sf):
 def _docs(spark, sf):
     clips = v_clips(spark, sf).select("clip", "fps", F.lit(8.0).alias("width"), F.lit(8.0).alias("height"), F.lit(4).cast("long").alias("grid"), "frames", F.lit("cloth").alias("class"), F.lit("flow").alias("engine"))
     f = v_flow(spark, sf)
-    det = v_det(spark, sf).filter("clip < 10")
+    det = v_det(spark, sf)
     return analyze_batch(f, clips, mask=_mask(f), detections=det)
 
 

@@ -11,6 +11,8 @@ from trackframe.plans.q_flow import FEAT, dial_steps
 from trackframe.plans.views import table, v_cells, v_clips, v_pixels, with_views
 
 QUERIES, ORACLE = {}, {}
+# the first cell of a component as one number, for the side-by-side check
+COMP = lambda: (F.col("comp.y") * 1048576 + F.col("comp.x")).alias("comp")
 
 
 def query(name: str, sql: str | None = None):
@@ -67,7 +69,7 @@ def merge_circular_bins(spark, sf):
 
 @query("components8", with_views("SELECT clip, y, x, comp FROM cc", ["v_pixels"], {"cc": cc_sql("v_pixels", "clip", "y", "x")}))
 def components8(spark, sf):
-    return rg.components8(v_pixels(spark, sf), ["clip"], "y", "x").select("clip", "y", "x", "comp")
+    return rg.components8(v_pixels(spark, sf), ["clip"], "y", "x").select("clip", "y", "x", COMP())
 
 
 @query("largest_component", with_views("""SELECT clip, y, x FROM cc JOIN (SELECT clip, comp FROM (SELECT clip, comp, row_number() OVER (PARTITION BY clip ORDER BY count(*) DESC, comp) AS rn
@@ -86,7 +88,7 @@ def region_bbox(spark, sf):
 @query("top_regions", with_views("SELECT clip, region, kind, comp, cells, round(energy, 4) AS energy FROM top8", ["v_cells"], COMPS))
 def top_regions(spark, sf):
     top, _ = rg.candidate_regions(v_cells(spark, sf))
-    return top.select("clip", "region", "kind", "comp", "cells", F.round("energy", 4).alias("energy"))
+    return top.select("clip", "region", "kind", COMP(), "cells", F.round("energy", 4).alias("energy"))
 
 
 DIR = "CASE WHEN direction < 22.5 OR direction >= 157.5 THEN 'horizontal' WHEN direction >= 67.5 AND direction < 112.5 THEN 'vertical' WHEN direction >= 22.5 AND direction < 67.5 THEN 'diagonal ↘' ELSE 'diagonal ↗' END"
