@@ -227,7 +227,16 @@ def _tracked(spark, sf):
     return cl.track_columns(r, cl.widest_columns(r), 80.0)
 
 
-@query("track_columns")
+WALK = {**SIL, "wide": "SELECT clip, col AS seed FROM (SELECT clip, col, row_number() OVER (PARTITION BY clip ORDER BY median(ch) DESC, col) AS rn FROM (SELECT clip, frame, col, max(stop - start) AS ch FROM cr GROUP BY ALL) GROUP BY clip, col) WHERE rn = 1",
+        "cand": "SELECT clip, frame, col, list({'s': start, 'm': (start + stop - 1) / 2e0, 'z': CAST(stop - start AS DOUBLE)}) FILTER (WHERE stop - start >= greatest(3, 0.2e0 * big)) AS c FROM (SELECT *, max(stop - start) OVER (PARTITION BY clip, frame, col) AS big FROM cr) GROUP BY clip, frame, col",
+        "ord": "SELECT c.*, sign(col - seed) AS side, row_number() OVER (PARTITION BY clip, frame, sign(col - seed) ORDER BY abs(col - seed)) AS k FROM cand c JOIN wide USING (clip) WHERE col <> seed",
+        "top": "SELECT clip, frame, col, mid, chord FROM (SELECT r.clip, frame, col, (start + stop - 1) / 2e0 AS mid, CAST(stop - start AS DOUBLE) AS chord, row_number() OVER (PARTITION BY r.clip, frame ORDER BY stop - start DESC, start) AS rn FROM cr r JOIN wide w ON w.clip = r.clip AND w.seed = r.col) WHERE rn = 1"}
+
+
+@query("track_columns", with_views("""SELECT clip, frame, col, mid, chord FROM (WITH RECURSIVE walk AS (SELECT clip, frame, side, CAST(0 AS BIGINT) AS k, col, mid, chord, mid AS last FROM top CROSS JOIN (SELECT unnest([1, -1]) AS side) UNION ALL
+    SELECT clip, frame, side, k, col, CASE WHEN n.d <= 20 THEN n.m END, n.z, CASE WHEN n.d <= 20 THEN n.m ELSE last END FROM (SELECT o.clip, o.frame, w.side, o.k, o.col, w.last, list_sort(list_transform(o.c, lambda x: {'d': abs(x.m - w.last), 's': x.s, 'm': x.m, 'z': x.z}))[1] AS n
+    FROM walk w JOIN ord o ON o.clip = w.clip AND o.frame = w.frame AND o.side = w.side AND o.k = w.k + 1))
+    SELECT clip, frame, col, mid, chord FROM walk WHERE mid IS NOT NULL AND (k > 0 OR side = 1))""", ["v_vec"], WALK))
 def track_columns(spark, sf):
     return _tracked(spark, sf)
 
