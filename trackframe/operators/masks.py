@@ -164,11 +164,15 @@ def accept_pairs(pairs: DataFrame, sizes: DataFrame, by: Sequence[str] = ("clip"
     return d.select(*by, "t", F.when(ok, F.col("m")).otherwise(ident).alias("m"), F.when(ok, "affine").otherwise("none").alias("model"), F.when(ok, F.col("drift")).otherwise(0.0).alias("drift"))
 
 
-def camera_static(pairs: DataFrame, by: Sequence[str] = ("clip",)) -> DataFrame:
-    """Static or moving camera from the median drift of pairs with a real model; model label, residual and warnings."""
+def camera_static(pairs: DataFrame, by: Sequence[str] = ("clip",), clips: DataFrame | None = None) -> DataFrame:
+    """Static or moving camera from the median drift of pairs with a real model; model label, residual and warnings.
+
+    A clip of `clips` without any frame pair counts as static, with a warning."""
     by = list(by)
     c = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("model") == "none").alias("none"))
     med = quantiles(pairs.filter("model <> 'none'"), by, {"med": "drift"})
+    if clips is not None:
+        c = clips.select(*by).distinct().join(c, by, "left").fillna(0, ["pairs", "none"])
     d = c.join(med, by, "left")
     static = F.coalesce(F.col("med") < STATIC_PX, F.lit(True))
     return d.select(*by, static.alias("is_static"), F.when(static | (F.col("none") == F.col("pairs")), "none").otherwise("affine").alias("model"), F.round(F.coalesce("med", F.lit(0.0)), 3).alias("residual_px"),

@@ -162,13 +162,13 @@ def clamp_box(spark, sf):
     return b.select("id", F.get(f, F.lit(0)).alias("fx"), F.get(f, F.lit(2)).alias("fw"), F.get(f, F.lit(3)).alias("fh"), F.get(s, F.lit(2)).alias("sw"))
 
 
-@query("norm_box", with_views("""SELECT id, round(greatest(0e0, least(1e0, x0)), 4) + 0e0 AS nx, round(greatest(0e0, least(1e0, y0)), 4) + 0e0 AS ny, round(greatest(0e0, least(1e0, x1 - x0)), 4) + 0e0 AS nw, round(greatest(0e0, least(1e0, y1 - y0)), 4) + 0e0 AS nh FROM (
-    SELECT id, (least(px1, px2, px3, px4) - 10) / 400e0 AS x0, (greatest(px1, px2, px3, px4) - 10) / 400e0 AS x1, (least(py1, py2, py3, py4) - 5) / 300e0 AS y0, (greatest(py1, py2, py3, py4) - 5) / 300e0 AS y1 FROM (
-    SELECT id, 0.8e0 * x - 0.3e0 * y + 20 AS px1, 0.8e0 * (x + w) - 0.3e0 * y + 20 AS px2, 0.8e0 * x - 0.3e0 * (y + h) + 20 AS px3, 0.8e0 * (x + w) - 0.3e0 * (y + h) + 20 AS px4,
+@query("norm_box", with_views("""SELECT id, CASE WHEN ok THEN round(greatest(0e0, least(1e0, x0)), 4) + 0e0 END AS nx, CASE WHEN ok THEN round(greatest(0e0, least(1e0, y0)), 4) + 0e0 END AS ny, CASE WHEN ok THEN round(greatest(0e0, least(1e0, x1 - x0)), 4) + 0e0 END AS nw, CASE WHEN ok THEN round(greatest(0e0, least(1e0, y1 - y0)), 4) + 0e0 END AS nh FROM (
+    SELECT id, ok, (least(px1, px2, px3, px4) - 10) / 400e0 AS x0, (greatest(px1, px2, px3, px4) - 10) / 400e0 AS x1, (least(py1, py2, py3, py4) - 5) / 300e0 AS y0, (greatest(py1, py2, py3, py4) - 5) / 300e0 AS y1 FROM (
+    SELECT id, w > 0 AND h > 0 AS ok, 0.8e0 * x - 0.3e0 * y + 20 AS px1, 0.8e0 * (x + w) - 0.3e0 * y + 20 AS px2, 0.8e0 * x - 0.3e0 * (y + h) + 20 AS px3, 0.8e0 * (x + w) - 0.3e0 * (y + h) + 20 AS px4,
     0.3e0 * x + 0.8e0 * y - 7 AS py1, 0.3e0 * (x + w) + 0.8e0 * y - 7 AS py2, 0.3e0 * x + 0.8e0 * (y + h) - 7 AS py3, 0.3e0 * (x + w) + 0.8e0 * (y + h) - 7 AS py4
-    FROM (SELECT id, bx * 400 AS x, "by" * 300 AS y, bw * 200 AS w, bh * 100 AS h FROM v_boxes WHERE bw > 0 AND bh > 0)))""", ["v_boxes"]))
+    FROM (SELECT id, bx * 400 AS x, "by" * 300 AS y, bw * 200 AS w, bh * 100 AS h FROM v_boxes)))""", ["v_boxes"]))
 def norm_box(spark, sf):
-    b = v_boxes(spark, sf).filter("bw > 0 AND bh > 0")
+    b = v_boxes(spark, sf)
     n = nm.norm_box(F.col("bx") * 400, F.col("by") * 300, F.col("bw") * 200, F.col("bh") * 100, tuple(F.lit(v) for v in (10.0, 5.0, 400.0, 300.0)),
                     tuple(F.lit(v) for v in (0.8, 0.3, -0.3, 0.8, 20.0, -7.0)))
     return b.select("id", *[F.get(n, F.lit(i)).alias(c) for i, c in enumerate(("nx", "ny", "nw", "nh"))])

@@ -162,9 +162,10 @@ def accept_pairs(spark, sf):
 
 
 @query("camera_static", with_views("""SELECT clip, coalesce(m < 3, true) AS is_static, CASE WHEN coalesce(m < 3, true) THEN 'none' ELSE 'affine' END AS model, round(coalesce(m, 0e0), 3) AS residual_px, (CASE WHEN nn > 0 THEN 1 ELSE 0 END) + (CASE WHEN m IS NULL THEN 1 ELSE 0 END) AS warnings FROM (
-    SELECT clip, median(CASE WHEN model = 'affine' THEN drift END) AS m, count(*) FILTER (WHERE model = 'none') AS nn FROM acc GROUP BY clip)""", ["v_vec"], PAIR))
+    SELECT clip, median(CASE WHEN model = 'affine' THEN drift END) AS m, count(*) FILTER (WHERE model = 'none') AS nn FROM v_clips LEFT JOIN (SELECT * FROM acc WHERE clip <> 3) USING (clip) GROUP BY clip)""", ["v_vec", "v_clips"], PAIR))
 def camera_static(spark, sf):
-    c = mk.camera_static(mk.accept_pairs(_pairs(spark, sf), _csizes(spark, sf)))
+    pairs = _pairs(spark, sf).filter("clip <> 3")  # one clip without any pair
+    c = mk.camera_static(mk.accept_pairs(pairs, _csizes(spark, sf)), clips=v_clips(spark, sf))
     return c.select("clip", "is_static", "model", "residual_px", F.size("warnings").alias("warnings"))
 
 

@@ -77,7 +77,7 @@ def sample_even(spark, sf):
 
 @query("strided_cap", """SELECT o_custkey AS g, CASE WHEN n > 5 THEN list_transform([0, 1, 2, 3, 4], lambda k: l[CAST(round_even(k * (n - 1) / 4e0, 0) AS BIGINT) + 1]) ELSE l END::VARCHAR AS picked FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l, count(*) AS n FROM orders GROUP BY o_custkey)""")
 def strided_cap(spark, sf):
-    # an array column of bounded documents: at most a customer's orders of one priority class
+    # the operator thins an array column, a clip's points; here a customer's orders stand for them
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("g")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
     return o.select("g", F.concat(F.lit("["), F.array_join(F.transform(sm.strided_cap(F.col("l"), 5), lambda v: v.cast("string")), ", "), F.lit("]")).alias("picked"))
 
