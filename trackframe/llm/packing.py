@@ -23,7 +23,7 @@ from trackframe.session import checkpoint
 #: Tokens of a sequence, the id that ends a document, dimensions and bits of the curve.
 LENGTH, END, DIMS, BITS = 2048, 1, 3, 10
 #: Strings that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 class WordCoder:
