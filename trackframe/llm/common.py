@@ -55,7 +55,7 @@ class Ids:
     bounds the memory of a worker and changes no result.
     """
 
-    def __init__(self, facts: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 400_000):
+    def __init__(self, facts: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 200_000):
         self.facts, self.limit = facts, limit
         self.clear()
 
@@ -78,7 +78,7 @@ class Ids:
         return at, self.table
 
 
-def batches(it: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that each holds about `chars` bytes of text at most, or one row."""
     for b in it:
         col = b.column(b.schema.get_field_index("text"))
@@ -88,6 +88,7 @@ def batches(it: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + chars, side="right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def spread(df: DataFrame, *cols: str | Column) -> DataFrame:

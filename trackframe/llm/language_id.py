@@ -14,6 +14,8 @@ from trackframe.session import checkpoint
 
 #: Slots of the hashed trigrams, most languages, trigrams of a text that count as independent at most.
 SLOTS, LANGUAGES, EVIDENCE = 1 << 12, 64, 60
+#: Bytes of text that a task looks at at once; each takes some sixty bytes of memory.
+CHARS = 1_000_000
 #: Weight of the suffix against a host's own rows, of the whole against a suffix's, of the declared one's overall share.
 HOST, SUFFIX, DECLARED = 20.0, 50.0, 20.0
 
@@ -59,7 +61,7 @@ def text_model(rows: DataFrame, slots: int = SLOTS, languages: int = LANGUAGES)
     """The declared languages, the most frequent ones first, and log chances of each slot in each of them."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for b in batches(it):
+        for b in batches(it, CHARS):
             at, n = slots_of(b.column(b.schema.get_field_index("text")), slots)
             cut = offsets(n)
             names = b.column("declared").to_pylist()
@@ -88,13 +90,14 @@ def identify(rows: DataFrame, keep: float = 0.5, contradicted: float = 0.01, slo
     Adds text_language (by the text alone), language, confidence (its posterior), declared_confidence
     (that of the declared one, null where none of the known) and kept, and leaves out text. kept: the text
     has letters, the posterior is `keep` at least and the declared language isn't under `contradicted`.
-    A text without letters keeps its prior and isn't kept; without any declared language all
+    A text that is null or has no letters keeps its prior and isn't kept; without any declared language all
     answers are null. Null suffixes and hosts are values like others. An empty table gives no row.
 
     The text model counts hashed trigrams per declared language. A host's prior is smoothed towards its
     suffix's, and that towards the whole's; both are sums of the text's posteriors over their rows, a
     row's own left out. How far a declared language is to be trusted is counted against the text's answer.
     """
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     langs, logs = text_model(rows, slots, languages)
     n = len(langs)
     others = [c for c in rows.columns if c != "text"]
@@ -105,7 +108,7 @@ def identify(rows: DataFrame, keep: float = 0.5, contradicted: float = 0.01, slo
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for b in batches(it):
+        for b in batches(it, CHARS):
             at, count = slots_of(b.column(b.schema.get_field_index("text")), slots)
             owner = np.repeat(np.arange(len(b)), count)
             sums = np.stack([np.bincount(owner, table[at, k], len(b)) for k in range(n)], 1)
