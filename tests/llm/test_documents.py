@@ -126,6 +126,15 @@ def test_base_scores(spark, common):
     assert all(r.score < 0 for r in got)
 
 
+def test_counted_words_keep_their_share_sent_or_joined(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sent, joined, some = ({r.doc_id: r for r in lm_score.score_documents(docs, common=n, trainers=2).collect()} for n in (200_000, 0, 500))
+    assert len(sent) == docs.count()
+    for i, r in sent.items():
+        for other in (joined[i], some[i]):
+            assert abs(r.score - other.score) < 1e-5 * abs(r.score) and r.n_known == other.n_known
+
+
 def test_words_are_scored_alone():
     rng = np.random.default_rng(0)
     n = int(lm_score._START[-1])
