@@ -263,3 +263,27 @@ def test_licences(spark):
         plain = [(a, b) for a, b in scan.blocks(text) if max(license.dice(license.bigrams(license.normal(text[a:b])), g) for _, _, g, _ in scan.templates) >= license.DICE]
         assert [(a, b) for a, b, _, _ in scan.scan(text)] == plain
     assert license.scan_documents(spark.createDataFrame(ODD, SHAPE).limit(0)).count() == 0
+
+
+def test_licences_inside_other_words():
+    scan = license.Scanner(license.TEMPLATES, license.DICE).scan
+    text = "Copyright 2020 Foo Project. Released under the MIT License. All rights reserved."
+    (a, b, name, d), = scan(text)
+    assert (text[a:b], name, d) == ("Released under the MIT License", "MIT", 1.0)
+    gpl = license.TEMPLATES["GPL-3.0"][1].split()
+    head = "/*\n * foo.c\n *\n" + "".join(f" * {' '.join(gpl[k:k + 9])}\n" for k in range(0, len(gpl), 9)) + " *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY.\n */"
+    for text in (head, head.replace("\n *\n", "\n * and\n"), "İ " * 3 + head.replace("\n", " "), "words before " * 900 + head.replace("\n", " ") + " words after" * 900):
+        assert [x[2] for x in scan(text)] == ["GPL-3.0"]
+    assert [x[2] for x in scan("one Licensed under CC BY-\nNC 4.0. two\nthree")] == ["CC-BY-NC-4.0"]
+    both = scan("A: Released under the MIT License. B: Licensed under the Apache License, Version 2.0. C: under the licence of a tree")
+    assert [x[2] for x in both] == ["MIT", "Apache-2.0"]
+    # against all windows, on words of the templates in any order
+    rng = random.Random(5)
+    s = license.Scanner(license.TEMPLATES, license.DICE)
+    words = "released licensed under the mit license apache version 2.0 bsd 3 clause cc by 4.0 nc".split()
+    for _ in range(300):
+        text = [rng.choice(words) for _ in range(rng.randrange(2, 16))]
+        most = max(license.dice(license.bigrams(text[i:j]), g) for i in range(len(text)) for j in range(i + 2, len(text) + 1) for _, _, g, _ in s.templates)
+        got = [d for *_, d in s.scan(" ".join(text))]
+        # a whole line that is enough alike stands for the runs of words in it
+        assert bool(got) == (most >= license.DICE) and all(license.DICE <= d <= most for d in got)
