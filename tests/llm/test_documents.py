@@ -244,6 +244,19 @@ def test_evidence_beside_the_text(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_many_and_three_letter_languages(spark):
+    rng = random.Random(4)
+    codes = [a + b for a in "abcdefghij" for b in "klmnopq"] + ["ceb", "yue", "fil"]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for c in codes}
+    rows = [(100 * k + i, " ".join(rng.choice(words[c]) for _ in range(40)), c + "-XX" * (i == 0), None) for k, c in enumerate(codes) for i in range(3)]
+    docs = language_id.documents_view(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = language_id.identify(docs).collect()
+    assert len(got) == 3 * len(codes) and all(r.declared == codes[r.id // 100] for r in got)
+    assert all(r.language == r.text_language == r.declared and r.declared_confidence > 0.5 and r.kept for r in got)
+    page = spark.createDataFrame([(1, "http://a.ph", "<html lang='ceb-PH'>x")], "page_id long, url string, html string")
+    assert language_id.pages_view(page).first().declared == "ceb"
+
+
 def test_page_view(spark):
     rows = [(1, "http://a.b.example.de:80/x", '<HTML class="q" lang = "de-AT"><script>var x;</script><p>Hallo <b>Welt</b><!-- no --></p>'), (2, None, None)]
     got = language_id.pages_view(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("id").collect()

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from trackframe.llm.common import batches, offsets
 from trackframe.session import checkpoint
 
-#: Slots of the hashed trigrams, most languages, trigrams of a text that count as independent at most.
-SLOTS, LANGUAGES, EVIDENCE = 1 << 12, 64, 60
+#: Slots of the hashed trigrams, trigrams of a text that count as independent at most.
+SLOTS, EVIDENCE = 1 << 12, 60
 #: Bytes of text that a task looks at at once; each takes some sixty bytes of memory.
 CHARS = 1_000_000
 #: Weight of the suffix against a host's own rows, of the whole against a suffix's, of the declared one's overall share.
@@ -26,7 +26,7 @@ def pages_view(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     seen = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*+>", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    declared = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2})\b", 1)
+    declared = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", 1)
     return pages.select(F.col("page_id").cast("long").alias("id"), seen.alias("text"), code(declared).alias("declared"), F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host"))
 
 
@@ -36,8 +36,8 @@ def documents_view(docs: DataFrame) -> DataFrame:
 
 
 def code(c: Column) -> Column:
-    """A two-letter language code, or null."""
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"^\s*([a-z]{2})(?:[-_].*)?\s*$", 1), F.lit(""))
+    """A language code of two or three letters, or null."""
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1), F.lit(""))
 
 
 def slots_of(texts: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,48 +57,48 @@ def slots_of(texts: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return (h[ok] >> np.uint32(8)).astype(np.int64) % slots, np.bincount(owner[:-2][ok], minlength=len(raw))
 
 
-def text_model(rows: DataFrame, slots: int = SLOTS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """The declared languages, the most frequent ones first, and log chances of each slot in each of them."""
+def text_model(rows: DataFrame, slots: int = SLOTS) -> tuple[list[str], np.ndarray]:
+    """All declared languages, the most frequent ones first, and log chances of each slot in each of them."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for b in batches(it, CHARS):
             at, n = slots_of(b.column(b.schema.get_field_index("text")), slots)
-            cut = offsets(n)
-            names = b.column("declared").to_pylist()
-            for name in set(names):
-                mine = np.repeat(np.array([x == name for x in names]), n)
-                held[name] = held.get(name, 0) + np.bincount(at[mine], minlength=slots)
-            del cut
+            coded = b.column("declared").dictionary_encode()
+            names, owner = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            c = np.bincount(np.repeat(owner, n) * slots + at, minlength=len(names) * slots).reshape(-1, slots)
+            for name, mine in zip(names, c, strict=True):
+                held[name] = held.get(name, 0) + mine
         for name, c in held.items():
             some = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["declared", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["declared", "slot", "n"])
 
     known = rows.filter("declared is not null")
-    langs = [r.declared for r in known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(languages).collect()]
+    langs = [r.declared for r in known.groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()]
     counts = np.full((len(langs), slots), 0.5)
     if langs:
         place = {x: k for k, x in enumerate(langs)}
         # as many rows as languages times slots
-        for r in known.filter(F.col("declared").isin(langs)).select("declared", "text").mapInArrow(run, "declared string, slot int, n long").groupBy("declared", "slot").agg(F.sum("n").alias("n")).collect():
-            counts[place[r.declared], r.slot] += r.n
+        got = known.select("declared", "text").mapInArrow(run, "declared string, slot int, n long").groupBy("declared", "slot").agg(F.sum("n").alias("n")).toArrow()
+        at = np.fromiter((place[x] for x in got.column("declared").to_pylist()), np.int64, len(got))
+        counts[at, got.column("slot").to_numpy()] += got.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(1, keepdims=True))
 
 
-def identify(rows: DataFrame, keep: float = 0.5, contradicted: float = 0.01, slots: int = SLOTS, languages: int = LANGUAGES, evidence: int = EVIDENCE) -> DataFrame:
+def identify(rows: DataFrame, keep: float = 0.5, contradicted: float = 0.01, slots: int = SLOTS, evidence: int = EVIDENCE) -> DataFrame:
     """The language of every row of (id, text, declared, suffix, host); further columns are passed on.
 
     Adds text_language (by the text alone), language, confidence (its posterior), declared_confidence
-    (that of the declared one, null where none of the known) and kept, and leaves out text. kept: the text
+    (that of the declared one, null where none is declared) and kept, and leaves out text. kept: the text
     has letters, the posterior is `keep` at least and the declared language isn't under `contradicted`.
     A text that is null or has no letters keeps its prior and isn't kept; without any declared language all
     answers are null. Null suffixes and hosts are values like others. An empty table gives no row.
 
-    The text model counts hashed trigrams per declared language. A host's prior is smoothed towards its
+    The text model counts hashed trigrams per declared language, however many and rare those are. A host's prior is smoothed towards its
     suffix's, and that towards the whole's; both are sums of the text's posteriors over their rows, a
     row's own left out. How far a declared language is to be trusted is counted against the text's answer.
     """
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
-    langs, logs = text_model(rows, slots, languages)
+    langs, logs = text_model(rows, slots)
     n = len(langs)
     others = [c for c in rows.columns if c != "text"]
     if not n:
