@@ -197,6 +197,23 @@ def test_patterns_discover_what_no_format_has(spark):
     assert pii.find(df.limit(0)).count() == 0 == pii.redact(df.limit(0)).count()
 
 
+def test_identifiers_with_blanks_are_discovered(spark):
+    rows = [(i, f"please ring office tel: +4930{1000000 + i} or item {i}") for i in range(40)]
+    rows += [(100, "office tel: 0171 2345678 today"), (101, "office tel: 0171\t234 56 78, 10.0.0.1 5"), (102, "on 3 a@b.cd office tel: 01712345678"), (103, "office tel:\n0171 234\n5678"), (104, "office tel: 0171 234567 " + "12345678 " * 40)]
+    df = spark.createDataFrame(rows, SHAPE)
+    got = {r.doc_id: r.spans.split(",") for r in pii.find(df).collect()}
+    assert got[100] == ["phone:12:24"]
+    assert "phone:12:27" in got[101] and any(x.startswith("ip:") for x in got[101])
+    assert "phone:24:35" in got[102]
+    assert "phone:12:23" not in got[103] and got[103] == ["phone:12:20"]
+    assert "phone:12:32" in got[104]
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[100] == "office tel: <PHONE> today" and clean[102] == "on 3 <EMAIL> office tel: <PHONE>"
+    # a word after a candidate has that one among its words before
+    late = spark.createDataFrame([(i, f"section 7 {'+4930' + str(1000000 + i)}") for i in range(40)] + [(50, "section 7 0302345678")], SHAPE)
+    assert {r.doc_id: r.spans for r in pii.find(late).collect()}[50] == "phone:10:20"
+
+
 # quality
 
 def test_grades(spark):

@@ -3,7 +3,8 @@
 Fixed formats give the seeds. The words before a seed are lexical patterns; patterns and the
 identifier-like tokens that they precede form a graph, on which both are scored in turn over the whole
 corpus: a pattern by the share of its distinct tokens that are personal data, a token by its patterns.
-What stands after a pattern of high score, and has the looks of the kind, is personal data too.
+Tokens with digits that only blanks part are looked at alone and together, as identifiers are written with
+blanks too. What stands after a pattern of high score, and has the looks of the kind, is personal data too.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ PATTERNS = (
 )
 #: A token with a digit or an at sign; characters before it that may hold its context.
 TOKEN, WINDOW = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", 80
+#: Most digits of tokens looked at together: as many as the longest format has.
+DIGITS = 19
 #: Rounds of scoring; least distinct seeds and least score of a pattern that discovers.
 ROUNDS, SEEDS, SCORE = 3, 8, 0.9
 
@@ -61,36 +64,56 @@ def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m
 
 
-def _walk(text: Column, pattern: str, guard: Column, holds, item, kind: str) -> Column:
-    """Go over the matches with the place reached; `item` makes what is kept of those that hold."""
+def _walk(text: Column, pattern: str, guard: Column, holds, item, kind: str, context: int = 0) -> Column:
+    """Go over the matches with the place reached; `item` makes what is kept of those that hold, from the
+    place, the match, the gap before it and, with `context`, the last characters before it."""
     none = F.array().cast(f"array<{kind}>")
     gaps, m = _matches(text, pattern)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.char_length(x["g"])
         end = start + F.char_length(x["m"])
-        kept = F.when(holds(x["m"]), F.concat(a["out"], F.array(item(start, end, x["m"], x["g"])))).otherwise(a["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
+        last = lambda s: F.substring(s, F.lit(-context), F.lit(context)) if context else F.lit("")
+        before = last(F.concat(a["tail"], x["g"]))
+        kept = F.when(holds(x["m"]), F.concat(a["out"], F.array(item(start, end, x["m"], x["g"], before)))).otherwise(a["out"])
+        return F.struct(end.alias("at"), last(F.concat(before, x["m"])).alias("tail"), kept.alias("out"))
 
-    walked = F.aggregate(F.arrays_zip(gaps.alias("g"), m.alias("m")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    walked = F.aggregate(F.arrays_zip(gaps.alias("g"), m.alias("m")), F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), step, lambda a: a["out"])
     return F.when(guard, walked).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the four formats: array of (start, rank of the kind, end) in order, code points, end exclusive."""
     guards = (F.contains(text, F.lit("@")), text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), text.rlike("[0-9]"), F.contains(text, F.lit("+")))
-    found = [_walk(text, p, g, lambda m, k=k: _holds(k, m), lambda s, e, m, g, k=k: F.struct(s.alias("start"), F.lit(k).alias("rank"), e.alias("end")), "struct<start:int,rank:int,end:int>") for k, (p, g) in enumerate(zip(PATTERNS, guards, strict=True))]
+    found = [_walk(text, p, g, lambda m, k=k: _holds(k, m), lambda s, e, m, g, before, k=k: F.struct(s.alias("start"), F.lit(k).alias("rank"), e.alias("end")), "struct<start:int,rank:int,end:int>") for k, (p, g) in enumerate(zip(PATTERNS, guards, strict=True))]
     return F.array_sort(F.concat(*found))
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens: array of (start, end, token, one and two words before)."""
-    def item(s: Column, e: Column, m: Column, g: Column) -> Column:
-        before = F.filter(F.split(F.lower(F.substring(g, F.lit(-WINDOW), F.lit(WINDOW))), r"\s+"), lambda w: w != "")
+    """Identifier-like tokens: array of (start, end, token, one and two words before, blanks since the one before or 0)."""
+    def item(s: Column, e: Column, m: Column, g: Column, before: Column) -> Column:
+        before = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
         n = F.size(before)
         one = F.when(n > 0, F.get(before, n - 1))
-        return F.struct(s.alias("start"), e.alias("end"), m.alias("token"), one.alias("one"), F.when(n > 1, F.concat_ws(" ", F.get(before, n - 2), one)).alias("two"))
-    return _walk(text, TOKEN, text.rlike("[0-9@]"), lambda m: F.lit(True), item, "struct<start:int,end:int,token:string,one:string,two:string>")
+        return F.struct(s.alias("start"), e.alias("end"), m.alias("token"), one.alias("one"), F.when(n > 1, F.concat_ws(" ", F.get(before, n - 2), one)).alias("two"), F.when(g.rlike(r"^[\x20\t\u00A0]+$"), F.char_length(g)).otherwise(0).alias("blanks"))
+    return _walk(text, TOKEN, text.rlike("[0-9@]"), lambda m: F.lit(True), item, "struct<start:int,end:int,token:string,one:string,two:string,blanks:int>", WINDOW)
+
+
+def together(cand: Column) -> Column:
+    """Runs of two or more candidates with digits and without an at sign that only blanks part, up to
+    DIGITS digits: array of (start, end, token, one, two), with the words before the first."""
+    kind = "struct<start:int,end:int,token:string,one:string,two:string,k:int>"
+
+    def step(a: Column, c: Column) -> Column:
+        run = a["run"]
+        joins = (c["blanks"] > 0) & (run["end"] + c["blanks"] == c["start"]) & (F.length(_digits(run["token"])) + F.length(_digits(c["token"])) <= DIGITS)
+        first = F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), c["one"].alias("one"), c["two"].alias("two"), F.lit(1).alias("k"))
+        more = F.struct(run["start"].alias("start"), c["end"].alias("end"), F.concat(run["token"], F.lit(" "), c["token"]).alias("token"), run["one"].alias("one"), run["two"].alias("two"), (run["k"] + 1).alias("k"))
+        joins = F.coalesce(joins, F.lit(False))
+        return F.struct(F.when(joins, more).otherwise(first).alias("run"), F.when(~joins & (run["k"] > 1), F.concat(a["out"], F.array(run))).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.lit(None).cast(kind).alias("run"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(F.filter(cand, lambda c: ~F.contains(c["token"], F.lit("@"))), start, step, lambda a: F.when(a["run"]["k"] > 1, F.concat(a["out"], F.array(a["run"]))).otherwise(a["out"]))
 
 
 def looks(rank: Column, token: Column) -> Column:
@@ -104,8 +127,12 @@ def _graph(marked: DataFrame) -> DataFrame:
     base = F.col("base")
     def seed(c: Column) -> Column:
         return F.get(F.transform(F.filter(base, lambda b: (b["start"] >= c["start"]) & (b["start"] < c["end"])), lambda b: b["rank"]), F.lit(0))
-    rows = marked.select("row", F.explode(F.transform("cand", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), c["one"].alias("one"), c["two"].alias("two"), seed(c).alias("seed"), F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("covered")))).alias("c")).select("row", "c.*")
-    return rows.filter(F.col("seed").isNotNull() | ~F.col("covered"))
+    covered = lambda c: F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def shown(c: Column, seed: Column) -> Column:
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["token"].alias("token"), c["one"].alias("one"), c["two"].alias("two"), seed.alias("seed"))
+    alone = F.filter(F.transform("cand", lambda c: F.struct(shown(c, seed(c)).alias("c"), covered(c).alias("covered"))), lambda x: x["c"]["seed"].isNotNull() | ~x["covered"])
+    runs = F.transform(together(F.filter("cand", lambda c: ~covered(c))), lambda c: shown(c, F.lit(None).cast("int")))
+    return marked.select("row", F.explode(F.concat(F.transform(alone, lambda x: x["c"]), runs)).alias("c")).select("row", "c.*")
 
 
 def discover(rows: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, score: float = SCORE) -> DataFrame:
@@ -141,7 +168,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, score: float
     """Personal data of every text.
 
     Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found): counts and hash of the
-    fixed formats, all spans as kind:start:end, and how many the patterns added. A null or empty text
+    fixed formats, all spans as kind:start:end, and how many the patterns added; a token and a run of tokens
+    that holds it are a span each. A null or empty text
     has none. Rows that repeat an id each have their own row, those without an id are left out; an
     empty table gives no row. Only `doc_id` and `text` are read. The texts are read once; what is
     shuffled are identifier-like tokens with the words before them, as counts per pattern and token.
