@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import byte_bpe, fingerprint, language_id, license, lm_score, near_dup, packing, pii, quality, topk
+from trackframe.llm import byte_bpe, fill_middle, fingerprint, language_id, license, lm_score, near_dup, packing, pii, quality, resample, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.transform(_table(spark, sf_dir, "documents")))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_tokens", "evidence", F.size("passages").cast("long").alias("n_passages"), F.to_json("passages").alias("passages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_topk, op4_fingerprint, op5_near_dup, op6_lm_score, op7_pii, op8_packing, op9_license, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_topk, op4_fingerprint, op5_near_dup, op6_lm_score, op7_pii, op8_packing, op9_license, op10_byte_bpe, op11_resample, op12_fill_middle, op13_toxicity, pipeline)}
 
 ORACLE = {
     "op3_topk": """
@@ -86,4 +101,28 @@ t AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, t.roo
 m AS (SELECT id, min(root) AS component_id FROM t GROUP BY id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_resample": r"""
+WITH one AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+words AS (SELECT kind, doc_id, row_id, w FROM (
+    SELECT 's' AS kind, doc_id, row_number() OVER () AS row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
+    UNION ALL SELECT 't', NULL, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark)),
+flat AS (SELECT kind, row_id, unnest(w) AS word FROM words),
+code AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hex(encode(word))) // 2), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM flat), one),
+f AS (SELECT kind, row_id, bucket FROM flat JOIN code USING (word)),
+n AS (SELECT count_if(kind = 's') AS s_all, count_if(kind = 't') AS t_all FROM f),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((count_if(kind = 't') + 1) * (s_all + 10000) AS DOUBLE) / ((count_if(kind = 's') + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM f, n GROUP BY bucket, s_all, t_all),
+m AS (SELECT row_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE kind = 's' GROUP BY row_id),
+d AS (SELECT doc_id, row_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM words LEFT JOIN m USING (row_id) WHERE kind = 's'),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, row_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS eligible FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM r""",
+    "op12_fill_middle": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS v FROM u),
+p AS (SELECT *, least(v[1] % (n + 1), v[2] % (n + 1)) AS a, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR v[3] % 100 >= 90 THEN 'plain' WHEN v[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+s AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM s""",
 }
