@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from itertools import repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -88,7 +90,33 @@ def batches(it: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + chars, side="right")) - 1)
             yield b.slice(i, j - i)
             i = j
-    pa.default_memory_pool().release_unused()  # workers live on after a task
+    released()
+
+
+def released() -> None:
+    """Give freed memory back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound what one Arrow batch holds in bytes, where the session doesn't say: rows may be whole long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
+
+
+def range_of(key: Column, lows: Sequence[int]) -> Column:
+    """The number of the range that `key` lies in, from the ascending first keys of the ranges: looked up in two levels."""
+    if not lows:
+        return F.lit(0)
+    wide = isqrt(len(lows) - 1) + 1
+    heads, every = F.lit(list(lows[::wide])), F.lit(list(lows))
+    first = F.greatest(F.size(F.filter(heads, lambda b: b <= key)) - 1, F.lit(0)) * wide
+    return F.greatest(first + F.size(F.filter(F.slice(every, first + 1, wide), lambda b: b <= key)) - 1, F.lit(0))
 
 
 def spread(df: DataFrame, *cols: str | Column) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import keyed
+from trackframe.llm.common import keyed, range_of
 
 #: Words of a piece; 64-bit hashes that give two 32-bit lanes each; 64-bit hashes that give 64 signs each.
 PIECE_WORDS, WIDE, SIGNS = 6, 4, 2
@@ -97,8 +97,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     lows = sorted(r.low for r in ids.select("doc_id").repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low")).collect())
     if not lows:
         return docs.select("doc_id", "text", F.col("text").alias("next"), F.lit(0).alias("blk"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("tie"), F.lit(1).alias("row"))
-    bounds = F.lit(lows)
-    block = F.greatest(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
+    block = range_of(F.col("doc_id"), lows)
     n = len(lows)
     # the first row of a range has its largest id; equal ids stay in one range
     heads = ids.withColumn("blk", block).groupBy("blk").agg(F.max(F.struct("doc_id", "tie")).alias("h")).select(F.col("h.doc_id").alias("doc_id"), F.col("h.tie").alias("tie"), F.lit(True).alias("head"))

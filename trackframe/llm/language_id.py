@@ -85,24 +85,29 @@ def text_model(rows: DataFrame, slots: int = SLOTS) -> tuple[list[str], np.ndarr
 
 
 def identify(rows: DataFrame, keep: float = 0.5, contradicted: float = 0.01, slots: int = SLOTS, evidence: int = EVIDENCE) -> DataFrame:
-    """The language of every row of (id, text, declared, suffix, host); further columns are passed on.
+    """The language of every row of (id, text, declared, suffix, host); further columns are passed on, whatever
+    their names, but for those that are added.
 
     Adds text_language (by the text alone), language, confidence (its posterior), declared_confidence
     (that of the declared one, null where none is declared) and kept, and leaves out text. kept: the text
     has letters, the posterior is `keep` at least and the declared language isn't under `contradicted`.
-    A text that is null or has no letters keeps its prior and isn't kept; without any declared language all
-    answers are null. Null suffixes and hosts are values like others. An empty table gives no row.
+    A text that is null or has no letters keeps its prior and isn't kept. Without any declared language there is
+    nothing to learn from: all answers are null and every row is kept. Null suffixes and hosts are values like others. An empty table gives no row.
 
     The text model counts hashed trigrams per declared language, however many and rare those are. A host's prior is smoothed towards its
     suffix's, and that towards the whole's; both are sums of the text's posteriors over their rows, a
     row's own left out. How far a declared language is to be trusted is counted against the text's answer.
     """
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    own = ["id", "declared", "suffix", "host"]
+    rest = [c for c in rows.columns if c not in (*own, "text", "text_language", "language", "confidence", "declared_confidence", "kept")]
+    back = [F.col(c) for c in own] + [F.col(f"row.c{k}").alias(c) for k, c in enumerate(rest)]
+    row = [F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)]).alias("row")] if rest else []
+    rows = rows.select(*own, *row, F.coalesce("text", F.lit("")).alias("text"))
     langs, logs = text_model(rows, slots)
     n = len(langs)
-    others = [c for c in rows.columns if c != "text"]
+    others = rows.columns[:-1]
     if not n:
-        return rows.select(*others, *[F.lit(None).cast(t).alias(c) for c, t in (("text_language", "string"), ("language", "string"), ("confidence", "double"), ("declared_confidence", "double"))], F.lit(False).alias("kept"))
+        return rows.select(*back, *[F.lit(None).cast(t).alias(c) for c, t in (("text_language", "string"), ("language", "string"), ("confidence", "double"), ("declared_confidence", "double"))], F.lit(True).alias("kept"))
     sent = rows.sparkSession.sparkContext.broadcast(logs.T.astype(np.float32).copy())
     shape = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
 
@@ -140,14 +145,15 @@ def identify(rows: DataFrame, keep: float = 0.5, contradicted: float = 0.01, slo
 
     joined = light.join(F.broadcast(declared), F.col("declared") == F.col("_code"), "left")
     joined = joined.join(hosts, F.col("host").eqNullSafe(F.col("_host")) & F.col("suffix").eqNullSafe(F.col("_suffix")), "left")
-    own = F.when(F.col("_n") > 0, 1.0).otherwise(0.0)
+    mine = F.when(F.col("_n") > 0, 1.0).otherwise(0.0)
     even = F.lit(g.tolist())
-    smooth = F.zip_with(F.zip_with("_h", "_post", lambda h, p: F.greatest(h - own * p, F.lit(0.0))), "_ps", lambda h, p: (h + HOST * p) / (F.greatest(F.col("_hn") - own, F.lit(0.0)) + HOST))
+    smooth = F.zip_with(F.zip_with("_h", "_post", lambda h, p: F.greatest(h - mine * p, F.lit(0.0))), "_ps", lambda h, p: (h + HOST * p) / (F.greatest(F.col("_hn") - mine, F.lit(0.0)) + HOST))
     prior = F.coalesce(smooth, even)
     total = F.zip_with(F.zip_with("_ll", F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b), F.coalesce("_trust", F.array_repeat(F.lit(0.0), n)), lambda a, b: a + b)
     out = joined.withColumn("_sum", total).withColumn("_w", F.transform("_sum", lambda x: F.exp(x - F.array_max("_sum"))))
     out = out.withColumn("_p", F.transform("_w", lambda x: x / F.aggregate("_w", F.lit(0.0), lambda a, y: a + y)))
     at = F.array_position(names, F.col("declared")).cast("int")
     by_declared = F.when(at > 0, F.get("_p", at - 1))
-    out = out.select(*others, F.when(F.col("_n") > 0, F.get(names, top("_post"))).alias("text_language"), F.get(names, top("_p")).alias("language"), F.array_max("_p").alias("confidence"), by_declared.alias("declared_confidence"), "_n")
-    return out.withColumn("kept", (F.col("_n") > 0) & (F.col("confidence") >= keep) & (F.coalesce("declared_confidence", F.lit(1.0)) >= contradicted)).drop("_n")
+    out = out.select(*back, F.when(F.col("_n") > 0, F.get(names, top("_post"))).alias("text_language"), F.get(names, top("_p")).alias("language"), F.array_max("_p").alias("confidence"), by_declared.alias("declared_confidence"),
+                     ((F.col("_n") > 0) & (F.array_max("_p") >= keep) & (F.coalesce(by_declared, F.lit(1.0)) >= contradicted)).alias("kept"))
+    return out

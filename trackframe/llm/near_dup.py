@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import batches, hash_names, keyed, tokens
+from trackframe.llm.common import batches, hash_names, keyed, small_batches, tokens
 from trackframe.llm.groups import components
 from trackframe.session import checkpoint
 
 #: Words of a shingle, values of a sketch, documents of a block in the last comparison.
 SHINGLE, SKETCH, BLOCK = 5, 64, 512
+#: Bytes of text handled at once.
+BATCH = 1_500_000
 #: Chance that two sketches of a linked pair share fewer values than the filters ask for.
 MISS = 1e-10
 
@@ -63,15 +65,18 @@ def least_shared(k: int, part: float, miss: float = MISS) -> int:
     return k
 
 
-def _signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
+def _hashed(docs: DataFrame, width: int, name: str, keep: int | None = None) -> DataFrame:
+    """(doc_id, tie, n, h1, h2, name): size and two hashes of each text's set, and its `keep` smallest values, or all."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
+        for b in batches(it, BATCH):
             sets = shingle_sets(b.column(1), width)
             total = np.array([int(x.sum(dtype=np.uint64)) for x in sets], np.uint64).view(np.int64)
             other = np.array([int(np.bitwise_xor.reduce(_mix(x))) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), pa.array(total), pa.array(other), pa.array([x[:k].tobytes() for x in sets], pa.binary())], names=["doc_id", "n", "h1", "h2", "sketch"])
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(total), pa.array(other), pa.array([x[:keep].tobytes() for x in sets], pa.binary())], names=["doc_id", "tie", "n", "h1", "h2", name])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id long, tie long, n long, h1 long, h2 long, {name} binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -85,12 +90,12 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sketch").mapInArrow(run, "value long, rep long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), width)], pa.binary())], names=["rep", "set"])
-
-    return docs.mapInArrow(run, "rep long, set binary")
+def _sets(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int) -> DataFrame:
+    """(rep, set) of the classes `used`, from the text of one document each: that of the class's smallest id."""
+    of = classes.join(used, "rep", "left_semi").select(F.col("low").alias("doc_id"), "n", "h1", "h2", "rep")
+    found = _hashed(docs.join(of.select("doc_id").distinct(), "doc_id", "left_semi"), width, "set")
+    # an id may have several texts: the class tells which
+    return found.join(of, ["doc_id", "n", "h1", "h2"]).select("rep", "set").dropDuplicates(["rep"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int, k: int, shared: int) -> bool:
@@ -189,8 +194,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
     Two documents are linked where den * |intersection| >= num * |union| of their sets of distinct
     `width`-word shingles; a text of fewer words is one shingle, a null or empty text has none and is
     linked with nothing. component_id is the smallest id reachable, kept tells that it is the own one.
-    Rows without an id are left out, rows that repeat an id are documents of one component if their
-    texts are equal; an empty table gives no row. Only `doc_id` and `text` are read.
+    Rows without an id are left out; rows that repeat an id are documents of their own, in one component
+    where their texts are linked; an empty table gives no row. Only `doc_id` and `text` are read.
 
     Equal sets become one class first. Each class keeps the k smallest hashes of its set. A linked pair
     shares `least_shared(k, num / den)` of them but for a chance of `miss`, so it also shares one of the
@@ -198,11 +203,42 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
     documents share drop out of them. In each list everyone is compared with the most central member
     and exact counts make components; lists that still hold several are compared in blocks.
     """
-    docs = keyed(docs)
+    out = _grouped(keyed(docs), num, den, width, k, block, miss)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), (F.col("doc_id") == F.col("low")).alias("kept"))
+
+
+def select_distinct(docs: DataFrame, num: int = 80, den: int = 100, **how: int) -> DataFrame:
+    """The documents without near copies: of each component the one of the smallest id, with all its columns.
+
+    Texts that repeat an id count each on its own; of rows equal in id and text one stays. Texts without
+    words are linked with nothing and stay. Rows without an id go; an empty table stays empty.
+    """
+    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = _grouped(keyed(docs), num, den, **how).groupBy("doc_id", "tie").agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("times"))
+    rows = checkpoint(rows)
+    me = F.struct("doc_id", "tie")
+    many = rows.groupBy("comp").agg(F.min(me).alias("best"), F.count(F.lit(1)).alias("size")).filter("comp is not null and size > 1").select("comp", "best")
+    marks = rows.join(many, "comp", "left").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.coalesce(me == F.col("best"), F.lit(True)).alias("_stays"), "times").filter("times > 1 or not _stays")
+    marks = checkpoint(marks.drop("times"))
+    there = docs.filter(F.col("doc_id").isNotNull())
+    same = (there["doc_id"] == marks["_id"]) & (tie == marks["_tie"])
+    single, twice = there.join(marks, same, "left_anti"), marks.filter("_stays")
+    if twice.isEmpty():
+        return single
+    own = there.withColumn("_tie", tie).alias("o").join(twice.alias("m"), (F.col("o.doc_id") == F.col("m._id")) & (F.col("o._tie") == F.col("m._tie")), "left_semi")
+    return single.unionByName(own.dropDuplicates(["doc_id", "_tie"]).drop("_tie"))
+
+
+def _grouped(docs: DataFrame, num: int, den: int, width: int = SHINGLE, k: int = SKETCH, block: int = BLOCK, miss: float = MISS) -> DataFrame:
+    """(doc_id, tie, n, comp, low): each row's text by its hash, its component, and the component's smallest id.
+
+    Rows without words have no component; their smallest id is their own.
+    """
+    small_batches(docs.sparkSession)
     need = least_shared(k, num / den, miss)
-    sig = checkpoint(_signatures(docs, width, k))
-    classes = checkpoint(sig.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")))
-    member = sig.select("doc_id", "n", "h1", "h2").join(classes.filter("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    sig = checkpoint(_hashed(docs, width, "sketch", k))
+    classes = sig.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("sketch").alias("sketch"))
+    classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))  # a written number: ids may be shared by several texts
 
     every = _postings(classes)
     often = every.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -215,8 +251,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
     postings = checkpoint(postings)
     hub = postings.groupBy("value").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("h")).select("value", (-F.col("h.rep")).alias("a"), F.col("h.n").alias("na"))
     pairs = postings.join(hub, "value").filter((F.col("a") != F.col("rep")) & _fits(F.col("n"), F.col("na"), num, den)).select("a", F.col("rep").alias("b")).distinct()
-    used = postings.select("rep").distinct()
-    sets = checkpoint(_sets(docs.withColumnRenamed("doc_id", "rep").join(used, "rep", "left_semi"), width).dropDuplicates(["rep"]))
+    sets = checkpoint(_sets(docs, classes, postings.select("rep").distinct(), width))
     links = checkpoint(_verified(checkpoint(pairs), sets, num, den, k, need))
     comp = checkpoint(components(links))
     more = _rest(postings.select("value", "rep"), sets, comp, num, den, block)
@@ -224,8 +259,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
         more = checkpoint(more)
         if not more.isEmpty():
             comp = checkpoint(components(links.union(more)))
-    out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    of = classes.select("n", "h1", "h2", "low", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    least = of.groupBy("comp").agg(F.min("low").alias("least"))
+    of = of.drop("low").join(least, "comp").select("n", "h1", "h2", "comp", "least")
+    return sig.select("doc_id", "tie", "n", "h1", "h2").join(of, ["n", "h1", "h2"], "left").select("doc_id", "tie", "n", "comp", F.coalesce("least", "doc_id").alias("low"))
 
 
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:

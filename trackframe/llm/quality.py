@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import Ids, batches, hash_names, keyed, offsets, tokens
+from trackframe.llm.common import Ids, batches, hash_names, keyed, tokens
 
 #: Hashed weights as a power of two; rated rows that train at most; passes; step; pull towards 0;
 #: and rated rows that a slot needs to have a weight.
 BITS, RATED, EPOCHS, RATE, PULL, LEAST = 18, 20_000, 12, 0.15, 1e-5, 6
+#: Bytes of text handled at once.
+BATCH = 2_000_000
 #: Shapes of a word: what it is made of and how it ends.
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|@-_/\\"
 
@@ -60,6 +62,14 @@ def _chance(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(score[:, None] - cuts[None, :], -30, 30)))
 
 
+def tails(texts: pa.Array, model: Model, seen: Ids, bits: int) -> np.ndarray:
+    """Chance of each grade above 0 or more, one column for each."""
+    rows = features(texts, seen, bits)
+    at, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    return 1 - _chance(np.bincount(row, model.weights[at] * value, len(rows)), model.cuts)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, pull: float = PULL, least: int = LEAST) -> Model:
     """Stochastic gradient steps on the log likelihood of the grades, in a fixed order of small batches."""
     w, square = np.zeros(1 << bits), np.full(1 << bits, 1e-2)
@@ -117,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3, rated: int = RA
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Ids(_facts(bits))
-        for b in batches(it):
+        for b in batches(it, BATCH):
             got = features(b.column(1), seen, bits)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], names=["doc_id", "grade", "slots", "parts"])
 
@@ -129,21 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3, rated: int = RA
 def score(docs: DataFrame, model: Model, also: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
     """(doc_id, expected_grade, tail_1, ..., with one tail probability for each grade above 0), one row per document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    tails = [f"tail_{j + 1}" for j in range(len(model.cuts))]
+    names = [f"tail_{j + 1}" for j in range(len(model.cuts))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = sent.value, Ids(_facts(bits))
-        for b in batches(it):
-            rows = features(b.column(1), seen, bits)
-            cut = offsets([len(x) for x, _ in rows])
-            at, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-            row = np.repeat(np.arange(len(rows)), np.diff(cut))
-            tail = 1 - _chance(np.bincount(row, m.weights[at] * value, len(rows)), m.cuts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tail.sum(1)), *(pa.array(tail[:, j].copy()) for j in range(tail.shape[1])), *b.columns[2:]], names=["doc_id", "expected_grade", *tails, *b.schema.names[2:]])
+        for b in batches(it, BATCH):
+            tail = tails(b.column(1), m, seen, bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tail.sum(1)), *(pa.array(tail[:, j].copy()) for j in range(tail.shape[1])), *b.columns[2:]], names=["doc_id", "expected_grade", *names, *b.schema.names[2:]])
 
     use = keyed(docs, also=also)
-    extra = "".join(f", {c} {t}" for c, t in use.dtypes[2:])
-    return use.mapInArrow(run, "doc_id long, expected_grade double, " + ", ".join(f"{t} double" for t in tails) + extra)
+    extra = "".join(f", {c.name} {c.dataType.simpleString()}" for c in use.schema.fields[2:])
+    return use.mapInArrow(run, "doc_id long, expected_grade double, " + ", ".join(f"{t} double" for t in names) + extra)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.5, rated: int = RATED) -> DataFrame:
@@ -160,18 +166,23 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.5, rated: int =
 
 
 def select_good(docs: DataFrame, labels: DataFrame, keep: float = 0.5, rated: int = RATED) -> DataFrame:
-    """The documents that `classify` keeps, with their columns."""
+    """The documents that `classify` keeps, with all their columns; rows without an id go.
+
+    Where no row is rated there is nothing to choose by, and every document stays.
+    """
+    if labels.filter("doc_id is not null and quality is not null").isEmpty():
+        return docs.filter("doc_id is not null")
     model = train(docs, labels, rated=rated)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rest = [c for c in docs.columns if c != "text"]
+    # columns travel under names of their own, so that any may be called what it likes
+    inside = docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = sent.value, Ids(_facts(BITS))
-        for b in batches(it):
-            texts = b.column(b.schema.get_field_index("text"))
-            rows = features(texts.fill_null("") if texts.null_count else texts, seen, BITS)
-            at, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-            row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-            tail = 1 - _chance(np.bincount(row, m.weights[at] * value, len(rows)), m.cuts)
-            yield b.filter(pa.array(tail[:, -1] >= keep))
-
-    return docs.filter("doc_id is not null").mapInArrow(run, docs.schema)
+        for b in batches(it, BATCH):
+            texts = b.column(0)
+            yield b.filter(pa.array(tails(texts.fill_null("") if texts.null_count else texts, m, seen, BITS)[:, -1] >= keep))
+
+    out = inside.mapInArrow(run, inside.schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"c{rest.index(c)}").alias(c) for c in docs.columns])
