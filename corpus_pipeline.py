@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.llm import language_id, near_dup, packing, pii, quality
+from trackframe.llm.common import small_batches
 from trackframe.session import checkpoint
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,12 +18,19 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the best grade is one half at least. Rows without an id go."""
+    """Documents whose chance of the best grade is one half at least; all of them where nothing is rated.
+
+    Null and empty texts are graded by their length, rows without an id go, columns beyond those of documents too.
+    """
+    small_batches(spark)
     return quality.select_good(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told and not against the declared one."""
+    """Documents whose language is told and not against the declared one; all of them where no language is declared.
+
+    Texts without letters (null and empty ones too) have no language and go.
+    """
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = language_id.documents_view(docs).withColumn("tie", F.xxhash64("text"))
     out = checkpoint(language_id.identify(rows).filter(~F.col("kept")).select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct())
@@ -30,23 +38,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates at a similarity of 0.8; of rows that repeat an id, one."""
-    groups = near_dup.near_duplicates(docs, num=80)
-    gone = checkpoint(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1"))
-    single = docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    twice = gone.filter("kept")
-    if twice.isEmpty():
-        return single
-    return single.union(docs.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    """One document of each group of near duplicates at a similarity of 0.8; different texts under one id all count."""
+    return near_dup.select_distinct(docs.select(*COLUMNS), num=80)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
+    """The documents with personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full sequences of token ids, neighbours on the curve together."""
+    """Pieces of full sequences of token ids, neighbours on the curve together; an empty text is its end id."""
     return packing.pack(docs, TOKENIZER)
 
 
