@@ -106,7 +106,8 @@ class Odds(NamedTuple):
 def _labelled(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """(doc_id, text, label): whole texts of training rows with a label; a doubly labelled id is toxic if any row says so."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("long")).alias("label"))
-    return keyed(docs.filter(train)).join(known, "doc_id").select("doc_id", "text", "label")
+    # labels grow with the documents, so they are never sent whole: texts and labels meet by id at every size
+    return keyed(docs.filter(train)).join(known.hint("merge"), "doc_id").select("doc_id", "text", "label")
 
 
 def count_tokens(rows: DataFrame) -> Odds:
@@ -124,18 +125,16 @@ def count_tokens(rows: DataFrame) -> Odds:
                 once = np.unique(owner * table.shape[1] + slot)
                 np.add.at(table, (label[once // table.shape[1]], once % table.shape[1]), 1)
             np.add.at(texts, (label, 0), 1)
-        for k, table in enumerate([*tables, texts]):
-            at = np.flatnonzero(table.any(0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(table[0, at]), pa.array(table[1, at])], names=["kind", "slot", "clean", "toxic"])
-
-    got = rows.select("text", "label").mapInArrow(run, "kind long, slot long, clean long, toxic long").groupBy("kind", "slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    kind, slot, counts = got["kind"].to_numpy(), got["slot"].to_numpy(), np.stack([got["clean"].to_numpy(), got["toxic"].to_numpy()])
-    out = []
-    for k, size in enumerate((1 << WORD_BITS, 1 << HEAD_BITS, 1)):
-        table = np.zeros((2, size), np.float32 if size > 1 else np.float64)
-        table[:, slot[kind == k]] = counts[:, kind == k]
-        out.append(table)
-    return Odds(out[0], out[1], out[2][:, 0])
+        whole = np.concatenate([*tables, texts], 1)
+        at = np.flatnonzero(whole.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(whole[0, at]), pa.array(whole[1, at])], names=["slot", "clean", "toxic"])
+
+    got = rows.select("text", "label").mapInArrow(run, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    sizes = [1 << WORD_BITS, 1 << HEAD_BITS, 1]
+    whole = np.zeros((2, sum(sizes)))
+    whole[:, got["slot"].to_numpy()] = np.stack([got["clean"].to_numpy(), got["toxic"].to_numpy()])
+    word, head, texts = np.split(whole, np.cumsum(sizes)[:-1], axis=1)
+    return Odds(word.astype(np.float32), head.astype(np.float32), texts[:, 0].copy())
 
 
 # ---------------------------------------------------------------- segments
