@@ -76,5 +76,5 @@ def test_nearest_is_exact(spark):
     rng = random.Random(2)
     a = [(1, i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(40)]
     b = [(1, i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(30)]
-    got = {r.a: r.b for r in mt.nearest(spark.createDataFrame(a, "g long, a long, ax double, ay double"), spark.createDataFrame(b, "g long, b long, bx double, by_ double"), ["g"], "a", "b", 3.0).collect()}
+    got = {r.a: r.b for r in mt.nearest(spark.createDataFrame(a, "g long, a long, ax double, ay double"), spark.createDataFrame(b, "g long, b long, bx double, by_ double"), ["g"], "a", "b").collect()}
     assert got == {i: min(b, key=lambda q: (q[2] - x) ** 2 + (q[3] - y) ** 2)[1] for _, i, x, y in a}

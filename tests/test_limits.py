@@ -32,7 +32,7 @@ def test_layers_with_long_and_negative_positions(spark):
 def test_points_that_cannot_be_compared(spark):
     a = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, None, 0.0), (1, 3, float("nan"), 1.0), (1, 4, float("inf"), 1.0)], "g long, i long, ax double, ay double")
     b = spark.createDataFrame([(1, 7, 3.0, 4.0), (1, 8, None, 0.0), (1, 9, float("nan"), 0.0)], "g long, j long, bx double, by_ double")
-    got = {r.i: (r.j, r.distance) for r in mt.nearest(a, b, ["g"], "i", "j", 1.0).collect()}
+    got = {r.i: (r.j, r.distance) for r in mt.nearest(a, b, ["g"], "i", "j").collect()}
     assert got == {1: (7, 5.0), 2: (None, None), 3: (None, None), 4: (None, None)}
 
 

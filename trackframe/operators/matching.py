@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe import dims
 from trackframe.functions.scalar import fixed
-from trackframe.operators.series import sorted_index, top_k
+from trackframe.operators.series import salted_join, sorted_index, top_k
 from trackframe.session import checkpoint
 
 
@@ -107,13 +108,19 @@ def quality_report(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return scored.rollup(*by).agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"))
 
 
-def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str, cell: float) -> DataFrame:
+#: Levels of the pyramid of cells, levels a round goes down, candidates that end the search of a cell.
+LEVELS, DOWN, FEW = 50, 2, 32
+
+
+def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str) -> DataFrame:
     """Nearest b (b_id, bx, by_) to each a (a_id, ax, ay) within a group; the lowest id on ties.
 
-    Points are hashed to grid cells of side `cell`. A first search looks at the 3 x 3 cells around each
-    point; whoever found nothing closer than one cell searches again in cells twice as large, until
-    everyone is served. No search compares all pairs of a group. A point with a null, NaN or infinite
-    coordinate is near nothing and nothing is near it: it comes out with a null partner.
+    A pyramid of occupied cells is searched from the top, for all cells of a at once: a cell keeps the cells
+    of b that may hold the nearest point of one of its points, which are those whose least distance is not
+    above the smallest largest distance met. Kept pairs go down two levels at a time until a cell of a has
+    at most `FEW` points of b left; points meet points only there. Bounds come from the boxes of the points
+    in a cell, so far, crowded and repeated points cost no more than others. A point with a null, NaN or
+    infinite coordinate is near nothing and nothing is near it: it comes out with a null partner.
     """
     by = list(by)
 
@@ -124,21 +131,74 @@ def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str,
     kind = dict(b.dtypes)[b_id]
     met = a.join(b.select(*by).distinct(), by, "left_semi").select(*by, a_id, F.col("ax").cast("double").alias("ax"), F.col("ay").cast("double").alias("ay"))
     lost = met.filter(~real("ax", "ay")).select(*by, a_id, F.lit(None).cast(kind).alias(b_id), F.lit(None).cast("double").alias("distance"))
-    todo = checkpoint(met.filter(real("ax", "ay")))
-    done, size = lost, float(cell)
-    while not todo.isEmpty():
-        ring = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        bb = b.select(*by, b_id, "bx", "by_", F.floor(F.col("bx") / size).alias("cx"), F.floor(F.col("by_") / size).alias("cy"))
-        aa = todo.select("*", F.explode(F.array(*[F.struct((F.floor(F.col("ax") / size) + i).alias("cx"), (F.floor(F.col("ay") / size) + j).alias("cy")) for i, j in ring])).alias("c"))
-        near = aa.select(*by, a_id, "ax", "ay", "c.cx", "c.cy").join(bb, by + ["cx", "cy"])
-        d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by_"), 2)
-        best = near.groupBy(*by, a_id).agg(F.min(F.struct(d2.alias("d2"), b_id)).alias("_b"))
-        # within one cell's width nothing outside the 3 x 3 block can be closer
-        found = checkpoint(best.filter(F.col("_b.d2") <= size * size).select(*by, a_id, F.col(f"_b.{b_id}").alias(b_id), F.sqrt("_b.d2").alias("distance")))
-        done = done.unionByName(found)
-        todo = checkpoint(todo.join(found.select(*by, a_id), by + [a_id], "left_anti"))
-        size *= 2
-    return done
+    here = met.filter(real("ax", "ay")).withColumnsRenamed({"ax": "x", "ay": "y"})
+    there = b.groupBy(*by, F.col("bx").cast("double").alias("x"), F.col("by_").cast("double").alias("y")).agg(F.min(b_id).alias(b_id))
+    box = [f(c).alias(f"{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xy"]
+    whole = here.groupBy(*by).agg(*box).union(there.groupBy(*by).agg(*box)).groupBy(*by).agg(F.min("lx").alias("lx"), F.min("ly").alias("ly"), F.max("hx").alias("hx"), F.max("hy").alias("hy"))
+    side = F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"))
+
+    def grid(points: DataFrame, spread: Sequence[str]) -> DataFrame:
+        d = salted_join(points, whole.select(*by, "lx", "ly", side.alias("side")), by, spread)
+        at = {f"g{c}": F.when(F.col("side") > 0, F.least(F.floor((F.col(c) - F.col(f"l{c}")) / F.col("side") * float(1 << LEVELS)), F.lit((1 << LEVELS) - 1))).otherwise(0).cast("long") for c in "xy"}
+        return checkpoint(d.withColumns(at).drop("lx", "ly", "side"))
+
+    here, there = grid(here, [a_id]), grid(there, ["x", "y"])
+
+    def cell(c: str, level: int) -> Column:
+        return F.shiftright(F.col(c), LEVELS - level)
+
+    def cells(points: DataFrame, side: str, level: int, of: DataFrame | None) -> DataFrame:
+        """Occupied cells of a level with the box and number of their points, below the cells `of` the level before."""
+        if of is not None:
+            up = points.withColumns({f"{side}px": cell("gx", level - DOWN), f"{side}py": cell("gy", level - DOWN)})
+            points = up.join(of, [*by, f"{side}px", f"{side}py"], "left_semi")
+        return points.groupBy(*by, cell("gx", level).alias(f"{side}x"), cell("gy", level).alias(f"{side}y")).agg(
+            *[f(c).alias(f"{side}{n}{c}") for n, f in (("l", F.min), ("h", F.max)) for c in "xy"], F.count(F.lit(1)).alias(f"{side}n"))
+
+    def gap(c: str) -> tuple[Column, Column]:
+        before, after = F.col(f"bl{c}") - F.col(f"ah{c}"), F.col(f"al{c}") - F.col(f"bh{c}")
+        return F.greatest(F.lit(0.0), before, after), F.greatest(-before, -after)
+
+    (near_x, far_x), (near_y, far_y) = gap("x"), gap("y")
+    pair, mine = [*by, "ax", "ay", "bx", "by"], W.partitionBy(*by, "ax", "ay")
+    level, ended = DOWN, []
+    # sixteen cells a side to begin with
+    pairs = cells(here, "a", level, None).join(cells(there, "b", level, None), by)
+    while True:
+        # far_* belongs to the corners farthest apart; a hair is left for rounding
+        pairs = pairs.withColumn("lo", near_x * near_x + near_y * near_y).withColumn("hi", far_x * far_x + far_y * far_y)
+        pairs = pairs.withColumn("best", F.min("hi").over(mine)).filter(F.col("lo") <= F.col("best") * (1 + 1e-9))
+        pairs = checkpoint(pairs.withColumn("left", F.sum("bn").over(mine)).select(*pair, "left"))
+        over = F.lit(level >= LEVELS) | (F.col("left") <= FEW)
+        ended.append((level, pairs.filter(over).select(*pair)))
+        rest = pairs.filter(~over).select(*[F.col(c).alias(f"{c[0]}p{c[1]}") if c in ("ax", "ay", "bx", "by") else F.col(c) for c in pair])
+        if level >= LEVELS or rest.isEmpty():
+            break
+        level += DOWN
+        below = {s: cells(p, s, level, rest.select(*by, f"{s}px", f"{s}py").distinct()).withColumns({f"{s}p{c}": F.shiftright(f"{s}{c}", DOWN) for c in "xy"}) for s, p in (("a", here), ("b", there))}
+        pairs = rest.join(below["a"], [*by, "apx", "apy"]).join(below["b"], [*by, "bpx", "bpy"])
+
+    ended = [(k, d) for k, d in ended if not d.isEmpty()]
+    if not ended:
+        return lost
+    spot = F.struct("x", "y", b_id)
+
+    def leaf(points: DataFrame, side: str, levels: Sequence[int], *cols: str | Column) -> DataFrame:
+        at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), cell("gx", k).alias(f"{side}x"), cell("gy", k).alias(f"{side}y")) for k in levels]))
+        return points.withColumn("_at", at).select(*by, "_at.*", *cols)
+
+    levels = [k for k, _ in ended]
+    last = reduce(DataFrame.union, [d.withColumn("level", F.lit(k)) for k, d in ended])
+    left = last.join(leaf(there, "b", levels, spot.alias("spot")), [*by, "level", "bx", "by"])
+    own = leaf(here, "a", levels, a_id, F.col("x").alias("px"), F.col("y").alias("py"))
+    d2 = lambda s: F.pow(F.col("px") - s.getField("x"), 2) + F.pow(F.col("py") - s.getField("y"), 2)
+    rank = lambda s: F.struct(d2(s).alias("d2"), s.getField(b_id).alias("id"))
+    few = left.filter(F.col("level") < LEVELS).groupBy(*by, "level", "ax", "ay").agg(F.collect_list("spot").alias("spots"))
+    found = own.join(few, [*by, "level", "ax", "ay"]).select(*by, a_id, F.array_min(F.transform("spots", rank)).alias("b"))
+    if levels[-1] == LEVELS:  # points of b as far as another, however many: they stay rows
+        many = own.filter(F.col("level") == LEVELS).join(left.filter(F.col("level") == LEVELS), [*by, "level", "ax", "ay"])
+        found = found.union(many.groupBy(*by, a_id, "px", "py").agg(F.min(rank(F.col("spot"))).alias("b")).select(*by, a_id, "b"))
+    return lost.union(found.select(*by, a_id, F.col("b.id").alias(b_id), F.sqrt("b.d2").alias("distance")))
 
 
 # ---------------------------------------------------------------- layer trees
