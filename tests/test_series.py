@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackframe.operators import series as se
+from trackframe.operators import spectra as sp
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +85,7 @@ def test_upper_median(df, rows):
 
 def test_dft_matches_fft(df, rows):
     n = df.groupBy("g").agg(F.count("v").alias("n"))
-    got = {(r.g, r.k): r.mag for r in se.dft(df.join(n, "g"), ["g"]).collect()}
+    got = {(r.g, r.k): r.mag for r in sp.dft(df.join(n, "g"), ["g"]).collect()}
     for g, vs in by_group(rows).items():
         want = np.abs(np.fft.rfft(vs))
         assert np.allclose([got[g, k] for k in range(len(want))], want)
@@ -95,7 +96,7 @@ def test_bandpass_matches_inverse_fft(spark):
     x = rng.random(21)
     d = spark.createDataFrame([(1, 0, t, float(v)) for t, v in enumerate(x)], "clip long, px long, t long, v double")
     clips = spark.createDataFrame([(1, 21, 10.0)], "clip long, n long, fps double")
-    got = [r.v for r in se.temporal_bandpass(d, clips, ["clip"], ["px"]).orderBy("t").collect()]
+    got = [r.v for r in sp.temporal_bandpass(d, clips, ["clip"], ["px"]).orderBy("t").collect()]
     f = np.fft.rfft(x)
     hz = np.fft.rfftfreq(21, 0.1)
     f[~((hz >= 0.4) & (hz <= 3.0))] = 0

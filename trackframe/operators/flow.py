@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions.scalar import TWO_PI, axis_degrees, axis_radians, clamp, clamp01, fixed, half_even, half_up
-from trackframe.operators.series import dft, halo, prefix_sums, refined_bin, salted_join, spectral_peak
+from trackframe.operators.series import halo, prefix_sums, salted_join
+from trackframe.operators.spectra import dft, refined_bin, spectral_peak
 from trackframe.session import checkpoint
 
 MIN_FRAMES, MIN_PIXELS = 12, 4

@@ -109,7 +109,7 @@ def quality_report(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 #: Levels of the pyramid of cells, levels a round goes down, candidates that end the search of a cell.
-LEVELS, DOWN, FEW = 50, 2, 32
+LEVELS, DOWN, FEW = 50, 2, 48
 
 
 def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str) -> DataFrame:
@@ -167,11 +167,13 @@ def nearest(a: DataFrame, b: DataFrame, by: Sequence[str], a_id: str, b_id: str)
     while True:
         # far_* belongs to the corners farthest apart; a hair is left for rounding
         pairs = pairs.withColumn("lo", near_x * near_x + near_y * near_y).withColumn("hi", far_x * far_x + far_y * far_y)
-        pairs = pairs.withColumn("best", F.min("hi").over(mine)).filter(F.col("lo") <= F.col("best") * (1 + 1e-9))
-        pairs = checkpoint(pairs.withColumn("left", F.sum("bn").over(mine)).select(*pair, "left"))
+        if "cap" in pairs.columns:  # nothing below a cell is worse off than the cell itself
+            pairs = pairs.filter(F.col("lo") <= F.col("cap"))
+        pairs = pairs.withColumn("cap", F.min("hi").over(mine) * (1 + 1e-9)).filter(F.col("lo") <= F.col("cap"))
+        pairs = checkpoint(pairs.withColumn("left", F.sum("bn").over(mine)).select(*pair, "cap", "left"))
         over = F.lit(level >= LEVELS) | (F.col("left") <= FEW)
         ended.append((level, pairs.filter(over).select(*pair)))
-        rest = pairs.filter(~over).select(*[F.col(c).alias(f"{c[0]}p{c[1]}") if c in ("ax", "ay", "bx", "by") else F.col(c) for c in pair])
+        rest = pairs.filter(~over).select(*[F.col(c).alias(f"{c[0]}p{c[1]}") if c in ("ax", "ay", "bx", "by") else F.col(c) for c in pair], "cap")
         if level >= LEVELS or rest.isEmpty():
             break
         level += DOWN

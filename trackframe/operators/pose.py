@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from trackframe import dims
 from trackframe.functions.scalar import clamp01, deg180, fixed
-from trackframe.operators.series import (band_power, best_lag, close_loop, dense_index, detrend_ends, fill_gaps, group_stats, hold_last,
-                                         quantiles, salted_join, unwrap_degrees)
+from trackframe.operators.series import close_loop, dense_index, detrend_ends, fill_gaps, group_stats, hold_last, quantiles, salted_join, unwrap_degrees
+from trackframe.operators.spectra import band_power, best_lag
 from trackframe.session import checkpoint
 
 # The 13 joints, in order.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackframe.functions.scalar import TWO_PI, col, deg180, hann, parabolic_offset
+from trackframe.functions.scalar import col, deg180
 from trackframe.session import checkpoint
 
 BLOCK = 4096
@@ -146,125 +146,6 @@ def group_stats(df: DataFrame, by: Sequence[str], aggs: Sequence[Column], spread
     return salted_join(df, df.groupBy(*by).agg(*aggs), by, spread)
 
 
-# ---------------------------------------------------------------- spectra
-
-def dft(series: DataFrame, by: Sequence[str], n: str = "n", t: str = "t", v: str = "v") -> DataFrame:
-    """Real-input DFT: (by, k, n, re, im, mag) for k = 0 .. n/2.
-
-    Each sample contributes to every bin; the sums combine on the map side, so the shuffle
-    carries one row per bin and partition, not one per sample and bin.
-    """
-    bins = series.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(n) / 2).cast("long"))))
-    # k*t is reduced modulo n first: exact in integers, and keeps the angle small
-    angle = F.pmod(F.col("k") * F.col(t), F.col(n)) * TWO_PI / F.col(n)
-    out = bins.groupBy(*by, "k", n).agg(F.sum(F.col(v) * F.cos(angle)).alias("re"),
-                                        F.sum(-F.col(v) * F.sin(angle)).alias("im"))
-    return out.withColumn("mag", F.hypot("re", "im"))
-
-
-def spectral_peak(spec: DataFrame, by: Sequence[str], first_bin: int = 1) -> DataFrame:
-    """Strongest bin per series with its neighbours: (by, n, k, mag, mag_lo, mag_hi, flatness).
-
-    The lowest bin wins a tie. k is 0 when the whole spectrum is zero.
-    """
-    by = list(by)
-    usable = spec.filter(F.col("k") >= first_bin)
-    power = F.pow("mag", 2) + 1e-12
-    top = usable.groupBy(*by, "n").agg(
-        F.max(F.struct("mag", (-F.col("k")).alias("neg"))).alias("_top"),
-        (F.exp(F.avg(F.log(power))) / F.avg(power)).alias("flatness"))
-    top = top.select(*by, "n", "flatness", F.col("_top.mag").alias("mag"),
-                     F.when(F.col("_top.mag") > 0, -F.col("_top.neg")).otherwise(F.lit(0)).cast("long").alias("peak"))
-    around = top.select(*by, F.explode(F.array(F.col("peak") - 1, F.col("peak") + 1)).alias("k"),
-                        F.col("peak").alias("_p"))
-    # bin 0 counts as zero: the mean is not part of the spectrum
-    lo_hi = (around.join(spec.select(*by, "k", "mag"), by + ["k"], "left")
-             .groupBy(*by).agg(
-                 F.max(F.when(F.col("k") < F.col("_p"), F.when(F.col("k") == 0, 0.0).otherwise(F.col("mag")))).alias("mag_lo"),
-                 F.max(F.when(F.col("k") > F.col("_p"), F.col("mag"))).alias("mag_hi")))
-    return top.join(lo_hi, by).withColumnRenamed("peak", "k")
-
-
-def refined_bin(k: Column, n: Column, lo: Column, mid: Column, hi: Column, least: int = 1) -> Column:
-    """Peak bin plus its log-parabolic offset, where both neighbours exist."""
-    inside = (k >= least) & (k < F.floor(n / 2))
-    return F.when(inside, k + parabolic_offset(lo, mid, hi)).otherwise(k.cast("double"))
-
-
-def band_power(series: DataFrame, by: Sequence[str], fps: str, lo: float = 0.5, hi: float = 1.5,
-               n: str = "n", t: str = "t", v: str = "v") -> DataFrame:
-    """Share of Hann-windowed power between lo and hi Hz and the period of the strongest bin there.
-
-    (by, share, period); both 0 for fewer than 8 samples, no power, or no bin in the band.
-    """
-    by = list(by)
-    mean = series.groupBy(*by).agg(F.avg(v).alias("_m"))
-    w = salted_join(series, mean, by, [t]).withColumn("_w", (F.col(v) - F.col("_m")) * hann(F.col(t), F.col(n)))
-    spec = dft(w.select(*by, n, fps, t, F.col("_w").alias("v")), by + [fps], n, t, "v").filter(F.col("k") > 0)
-    p = F.pow("mag", 2)
-    per = F.col(n) / F.col("k")
-    sel = (per >= F.col(fps) / hi) & (per <= F.col(fps) / lo)
-    out = spec.groupBy(*by, n, fps).agg(
-        F.sum(p).alias("_tot"), F.sum(F.when(sel, p)).alias("_in"),
-        F.max(F.when(sel, F.struct(p.alias("p"), (-F.col("k")).alias("neg")))).alias("_top"))
-    ok = (F.col(n) >= 8) & F.col("_in").isNotNull() & (F.col("_tot") > 0)
-    return out.select(*by, F.when(ok, F.col("_in") / F.col("_tot")).otherwise(0.0).alias("share"),
-                      F.when(ok, F.col(n) / -F.col("_top.neg") / F.col(fps)).otherwise(0.0).alias("period"))
-
-
-def temporal_bandpass(pixels: DataFrame, clips: DataFrame, by: Sequence[str], px: Sequence[str],
-                      lo: float = 0.4, hi: float = 3.0, gain: float = 12.0, t: str = "t", v: str = "v") -> DataFrame:
-    """Amplify each pixel's motion between lo and hi Hz and clip to 0..1. Clips need n, fps; n < 6 passes through.
-
-    The inverse transform of the kept bins is a sum over bins, so only bins in the band are computed.
-    """
-    by, px = list(by), list(px)
-    base = salted_join(pixels, clips.select(*by, "n", "fps"), by, px)
-    kk = F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2).cast("long"))
-    kept = base.filter(F.col("n") >= 6).withColumn("k", F.explode(kk))
-    hz = F.col("k") * F.col("fps") / F.col("n")
-    kept = kept.filter((hz >= lo) & (hz <= hi))
-    angle = F.pmod(F.col("k") * F.col(t), F.col("n")) * TWO_PI / F.col("n")
-    spec = kept.groupBy(*by, *px, "n", "k").agg(F.sum(F.col(v) * F.cos(angle)).alias("re"),
-                                                F.sum(-F.col(v) * F.sin(angle)).alias("im"))
-    back = spec.withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    ang2 = F.pmod(F.col("k") * F.col(t), F.col("n")) * TWO_PI / F.col("n")
-    once = (F.col("k") == 0) | (F.col("k") * 2 == F.col("n"))
-    term = (F.col("re") * F.cos(ang2) - F.col("im") * F.sin(ang2)) * F.when(once, 1.0).otherwise(2.0) / F.col("n")
-    band = back.groupBy(*by, *px, t).agg(F.sum(term).alias("_band"))
-    joined = base.join(band, by + px + [t], "left")
-    return joined.select(*by, *px, t, F.when(F.col("n") < 6, F.col(v)).otherwise(
-        F.least(F.greatest(F.col(v) + F.coalesce(F.col("_band"), F.lit(0.0)) * gain, F.lit(0.0)), F.lit(1.0))).alias(v))
-
-
-# ---------------------------------------------------------------- autocorrelation
-
-def autocorrelation(series: DataFrame, by: Sequence[str], n: str = "n", t: str = "t", v: str = "v") -> DataFrame:
-    """(by, n, lag, r) for lags 1 .. n/2 - 1 of the standardized series; n < 8 or flat series give no rows."""
-    by = list(by)
-    stats = series.groupBy(*by).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_sd"))
-    z = (salted_join(series, stats, by, [t]).filter((F.col(n) >= 8) & (F.col("_sd") >= 1e-9))
-         .select(*by, n, t, ((F.col(v) - F.col("_m")) / F.col("_sd")).alias("_z")))
-    lags = F.sequence(F.lit(1).cast("long"), F.floor(F.col(n) / 2).cast("long") - 1)
-    left = z.withColumn("lag", F.explode(lags)).withColumn("_t2", F.col(t) + F.col("lag")).filter(F.col("_t2") < F.col(n))
-    right = z.select(*by, F.col(t).alias("_t2"), F.col("_z").alias("_z2"))
-    return (left.join(right, by + ["_t2"]).groupBy(*by, n, "lag")
-            .agg(F.avg(F.col("_z") * F.col("_z2")).alias("r")))
-
-
-def best_lag(series: DataFrame, by: Sequence[str], n: str = "n", t: str = "t", v: str = "v") -> DataFrame:
-    """(by, corr, lag): the strongest positive local maximum of the autocorrelation, 0 and 0 if none."""
-    by = list(by)
-    r = autocorrelation(series, by, n, t, v)
-    near = neighbours(r, by, "lag", ["r"])
-    local = F.col("prev_r").isNotNull() & F.col("next_r").isNotNull() & (F.col("r") > F.col("prev_r")) \
-        & (F.col("r") >= F.col("next_r")) & (F.col("r") > 0)
-    best = near.filter(local).groupBy(*by).agg(F.max(F.struct("r", (-F.col("lag")).alias("neg"))).alias("_b"))
-    return (series.select(*by).distinct().join(best, by, "left")
-            .select(*by, F.coalesce(F.round("_b.r", 3), F.lit(0.0)).alias("corr"),
-                    F.coalesce(-F.col("_b.neg"), F.lit(0)).cast("long").alias("lag")))
-
-
 # ---------------------------------------------------------------- order-based repairs
 
 def fill_gaps(series: DataFrame, by: Sequence[str], cols: Sequence[str], t: str = "t", k: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackframe.functions.scalar import fixed
 from trackframe.operators import flow as fl
-from trackframe.operators import series as se
+from trackframe.operators import spectra as sp
 from trackframe.plans.views import table, v_boxes, v_cells, v_clips, v_flow, v_pixels, v_signal, with_views
 
 QUERIES, ORACLE = {}, {}
@@ -293,7 +293,7 @@ def lucas_kanade(spark, sf):
 @query("dft", with_views(f"""SELECT clip, CAST(k AS BIGINT) AS k, round(sqrt(re * re + im * im), 4) + 0e0 AS mag FROM (SELECT clip, k, sum(v * cos(2 * {PI} * ((k * t) % 64) / 64)) AS re,
     sum(-v * sin(2 * {PI} * ((k * t) % 64) / 64)) AS im FROM v_signal CROSS JOIN (SELECT unnest(range(0, 33)) AS k) GROUP BY clip, k)""", ["v_signal"]))
 def dft(spark, sf):
-    return se.dft(v_signal(spark, sf), ["clip"]).select("clip", "k", *r(4, mag="mag"))
+    return sp.dft(v_signal(spark, sf), ["clip"]).select("clip", "k", *r(4, mag="mag"))
 
 
 SIG = {"spec": f"""SELECT clip, k, n, sqrt(re * re + im * im) AS mag FROM (SELECT clip, k, n, sum(v * cos(2 * {PI} * ((k * t) % 64) / 64)) AS re,
@@ -305,8 +305,8 @@ SIG = {"spec": f"""SELECT clip, k, n, sqrt(re * re + im * im) AS mag FROM (SELEC
     SELECT *, la - 2 * lb + lc AS den FROM (SELECT p.clip, p.k, ln(coalesce(lo.mag, 0e0) + 1e-12) AS la, ln(p.mag + 1e-12) AS lb, ln(hi.mag + 1e-12) AS lc FROM top p
     LEFT JOIN spec lo ON lo.clip = p.clip AND lo.k = p.k - 1 LEFT JOIN spec hi ON hi.clip = p.clip AND hi.k = p.k + 1))""", ["v_signal"], SIG))
 def parabolic_peak(spark, sf):
-    p = se.spectral_peak(se.dft(v_signal(spark, sf), ["clip"]), ["clip"])
-    return p.select("clip", "k", F.round(se.refined_bin(F.col("k"), F.col("n"), F.col("mag_lo"), F.col("mag"), F.col("mag_hi")), 4).alias("refined"))
+    p = sp.spectral_peak(sp.dft(v_signal(spark, sf), ["clip"]), ["clip"])
+    return p.select("clip", "k", F.round(sp.refined_bin(F.col("k"), F.col("n"), F.col("mag_lo"), F.col("mag"), F.col("mag_hi")), 4).alias("refined"))
 
 
 @query("band_power", with_views(f"""SELECT clip, round(sum(CASE WHEN sel THEN p END) / sum(p), 4) AS share, round(max(CASE WHEN rk = 1 THEN 64e0 / k / 15e0 END), 4) AS period FROM (
@@ -317,7 +317,7 @@ def parabolic_peak(spark, sf):
     CROSS JOIN (SELECT unnest(range(1, 33)) AS k) GROUP BY clip, k))) GROUP BY clip""", ["v_signal"]))
 def band_power(spark, sf):
     s = v_signal(spark, sf).withColumn("fps", F.lit(15.0))
-    return se.band_power(s, ["clip"], "fps").select("clip", *r(4, share="share", period="period"))
+    return sp.band_power(s, ["clip"], "fps").select("clip", *r(4, share="share", period="period"))
 
 
 @query("temporal_bandpass", with_views(f"""SELECT clip, t, round(greatest(0e0, least(1e0, v + 12 * band)), 4) + 0e0 AS v FROM (
@@ -327,7 +327,7 @@ def band_power(spark, sf):
 def temporal_bandpass(spark, sf):
     s = v_signal(spark, sf)
     clips = table(spark, sf, "embeddings").select(F.col("vec_id").alias("clip"), F.lit(64).cast("long").alias("n"), F.lit(20.0).alias("fps"))
-    return se.temporal_bandpass(s.select("clip", F.lit(0).alias("px"), "t", "v"), clips, ["clip"], ["px"]).select("clip", "t", *r(4, v="v"))
+    return sp.temporal_bandpass(s.select("clip", F.lit(0).alias("px"), "t", "v"), clips, ["clip"], ["px"]).select("clip", "t", *r(4, v="v"))
 
 
 AC = {"z": "SELECT clip, t, (v - avg(v) OVER (PARTITION BY clip)) / stddev_pop(v) OVER (PARTITION BY clip) AS z FROM v_signal",
@@ -337,10 +337,10 @@ AC = {"z": "SELECT clip, t, (v - avg(v) OVER (PARTITION BY clip)) / stddev_pop(v
 
 @query("autocorrelation", with_views("SELECT clip, lag, round(r, 4) + 0e0 AS r FROM ac", ["v_signal"], AC))
 def autocorrelation(spark, sf):
-    return se.autocorrelation(v_signal(spark, sf), ["clip"]).select("clip", "lag", *r(4, r="r"))
+    return sp.autocorrelation(v_signal(spark, sf), ["clip"]).select("clip", "lag", *r(4, r="r"))
 
 
 @query("best_lag", with_views("""SELECT e.clip, coalesce(round(b.r, 3), 0e0) AS corr, coalesce(b.lag, 0) AS lag FROM (SELECT vec_id AS clip FROM embeddings) e LEFT JOIN (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY r DESC, lag) AS rn FROM pk) WHERE rn = 1) b USING (clip)""", ["v_signal"], AC))
 def best_lag(spark, sf):
-    return se.best_lag(v_signal(spark, sf), ["clip"])
+    return sp.best_lag(v_signal(spark, sf), ["clip"])
