@@ -92,7 +92,8 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int) -> DataFrame:
     """(rep, set) of the classes `used`, from the text of one document each: that of the class's smallest id."""
-    of = classes.join(used, "rep", "left_semi").select(F.col("low").alias("doc_id"), "n", "h1", "h2", "rep")
+    # written, so that the planner knows how narrow it is beside the texts
+    of = checkpoint(classes.join(used, "rep", "left_semi").select(F.col("low").alias("doc_id"), "n", "h1", "h2", "rep"))
     found = _hashed(docs.join(of.select("doc_id").distinct(), "doc_id", "left_semi"), width, "set")
     # an id may have several texts: the class tells which
     return found.join(of, ["doc_id", "n", "h1", "h2"]).select("rep", "set").dropDuplicates(["rep"])
