@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions.scalar import TWO_PI, clamp, fixed, half_even
-from trackframe.operators.series import BLOCK, dense_index, densify, halo, known_around, prefix_sums, salted_join, smooth_pinned
+from trackframe.operators.series import BLOCK, dense_index, densify, halo, known_in_ranges, prefix_sums, salted_join, smooth_pinned
 from trackframe.session import checkpoint
 
 # Fixed thresholds of a travel path.
@@ -79,19 +79,18 @@ def arc_length(poly: DataFrame, by: Sequence[str] = ("clip",), i: str = "i", x:
     return prefix_sums(step_lengths(poly, by, i, x, y), by, i, {"cum": "leg"})
 
 
-def bracket_sample(samples: DataFrame, instants: DataFrame, by: Sequence[str], at: str, cols: Sequence[str],
-                   width: int = BLOCK) -> DataFrame:
+def bracket_sample(samples: DataFrame, instants: DataFrame, by: Sequence[str], at: str, cols: Sequence[str]) -> DataFrame:
     """Value at each instant between the two neighbouring samples; clamps past the ends.
 
-    An as-of join by merging: samples and instants are laid out along `at` in one table and every
-    instant takes the nearest sample on each side, so no pairs are formed. `width` is the span of
-    `at` that one block covers.
+    An as-of join by merging: samples and instants are laid out along `at` in one table, cut into ranges
+    of about equal numbers of rows whatever the scale of `at`, and every instant takes the nearest sample
+    on each side; a range gets what lies outside it through one carry row. No pairs are formed.
     """
     by = list(by)
     extra = [c for c in instants.columns if c not in by + [at]]
     both = samples.select(*by, at, *cols, F.lit(True).alias("_s")).unionByName(
         instants.withColumn("_s", F.lit(False)), allowMissingColumns=True)
-    d = known_around(both, by, at, F.col("_s"), cols, width).filter(~F.col("_s"))
+    d = known_in_ranges(both, by, at, F.col("_s"), cols).filter(~F.col("_s"))
     f = F.coalesce(F.try_divide(F.col(at) - F.col("_left.o"), F.col("_right.o") - F.col("_left.o")), F.lit(0.0))
     out = [F.coalesce(F.col(f"_left.{c}") + f * (F.col(f"_right.{c}") - F.col(f"_left.{c}")), F.col(f"_left.{c}"), F.col(f"_right.{c}")).alias(c) for c in cols]
     return d.select(*by, at, *extra, *out)

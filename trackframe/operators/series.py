@@ -125,16 +125,30 @@ def known_around(df: DataFrame, by: Sequence[str], order: str, present: Column,
 
     A record is a struct of the order value (`o`) and `cols`; null where there is none.
     """
+    return _known_in_blocks(df.withColumn("_blk", blocks(order, block)), by, order, present, cols)
+
+
+def known_in_ranges(df: DataFrame, by: Sequence[str], order: str, present: Column, cols: Sequence[str]) -> DataFrame:
+    """The same along an `order` of any scale: blocks are ranges of (by, order) that Spark samples from the rows.
+
+    Rows that share an order value are told apart by a hash, so that no value makes a range of its own.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(parts, *[F.col(c) for c in by], F.col(order), F.xxhash64(*df.columns))
+    return _known_in_blocks(checkpoint(laid.withColumn("_blk", F.spark_partition_id())), by, order, present, cols)
+
+
+def _known_in_blocks(d: DataFrame, by: Sequence[str], order: str, present: Column, cols: Sequence[str]) -> DataFrame:
     by = list(by)
-    rec = F.when(present, F.struct(F.col(order).alias("o"), *[F.col(c) for c in cols]))
-    d = df.withColumn("_blk", blocks(order, block)).withColumn("_rec", rec)
+    d = d.withColumn("_rec", F.when(present, F.struct(F.col(order).alias("o"), *[F.col(c) for c in cols])))
     back = W.partitionBy(*by).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     ahead = W.partitionBy(*by).orderBy("_blk").rowsBetween(1, W.unboundedFollowing)
     edge = _carried(d, by, [F.min("_rec").alias("_f"), F.max("_rec").alias("_l")],
                     {"_kb": F.last("_l", ignorenulls=True).over(back), "_ka": F.first("_f", ignorenulls=True).over(ahead)})
-    inside = W.partitionBy(*by, "_blk").orderBy(order)
-    left = F.last("_rec", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first("_rec", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing))
+    inside, here = W.partitionBy(*by, "_blk"), F.col("_rec").isNull()  # of equal order values, known rows come first
+    left = F.last("_rec", ignorenulls=True).over(inside.orderBy(order, here).rowsBetween(W.unboundedPreceding, 0))
+    # running backward: a frame that shrinks from the front would be read anew for every row
+    right = F.last("_rec", ignorenulls=True).over(inside.orderBy(F.desc(order), here).rowsBetween(W.unboundedPreceding, 0))
     return (d.join(edge, by + ["_blk"])
             .withColumn("_left", F.coalesce(left, F.col("_kb")))
             .withColumn("_right", F.coalesce(right, F.col("_ka")))
