@@ -128,7 +128,7 @@ def test_judge_stream_stops_and_resets(spark, tmp_path):
     src = src.select("session", "seq", "verdict", "score", "has_deltas", F.timestamp_seconds("sec").alias("ts")).coalesce(1)
     src.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    got = [(r.seq, r.go, r.stopped, r.best) for r in sj.drain(sj.judge_stream(stream), "test").orderBy("seq").collect()]
+    got = [(r.seq, r.go, r.stopped, r.best) for r in sj.drain(stream, "test").orderBy("seq").collect()]
     assert got == [(0, True, False, 0), (1, False, False, 1), (2, False, True, 1), (4, True, False, 0)]
 
 

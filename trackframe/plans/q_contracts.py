@@ -334,8 +334,8 @@ def apply_deltas(spark, sf):
     return d.select("doc_id", "id", at("amplitude"), at("direction"), at("frequency"), at("damping"), F.size("notes").alias("notes"))
 
 
-@query("judge_policy", with_views("""SELECT session, i, round(gain, 4) + 0e0 AS gain, reason IS NULL AS go, coalesce(reason, 'score is still improving') AS reason FROM (SELECT *, CASE WHEN verdict = 'wrong_class' THEN 'the applicator is wrong for this motion' WHEN score >= 0.8e0 THEN 'the score reached the bar' WHEN verdict = 'good' THEN 'the judge is satisfied'
-    WHEN i + 1 >= 3 THEN 'iteration cap reached' WHEN NOT has_deltas THEN 'no actionable deltas were returned' WHEN gain < 0.03e0 THEN 'gain below what justifies another pass' END AS reason FROM (SELECT *, score - lag(score) OVER (PARTITION BY session ORDER BY i) AS gain FROM v_hist))""", ["v_hist"]))
+@query("judge_policy", with_views("""SELECT session, i, round(gain, 4) + 0e0 AS gain, reason IS NULL AS go, coalesce(reason, 'still gaining') AS reason FROM (SELECT *, CASE WHEN verdict = 'wrong_class' THEN 'other applicator needed' WHEN score >= 0.8e0 THEN 'score is high enough' WHEN verdict = 'good' THEN 'judged good'
+    WHEN i + 1 >= 3 THEN 'no passes left' WHEN NOT has_deltas THEN 'nothing to change' WHEN gain < 0.03e0 THEN 'too little gain' END AS reason FROM (SELECT *, score - lag(score) OVER (PARTITION BY session ORDER BY i) AS gain FROM v_hist))""", ["v_hist"]))
 def judge_policy(spark, sf):
     return ct.judge_policy(v_hist(spark, sf)).select("session", "i", fixed(F.col("gain"), 4).alias("gain"), "go", "reason")
 

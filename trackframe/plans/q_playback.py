@@ -309,20 +309,20 @@ def _events(spark, sf):
     return spark.readStream.format("parquet").schema(EVENTS).option("pathGlobFilter", "events.parquet").load(sf)
 
 
-@query("judge_stream", with_views("""SELECT session, event_id AS seq, CASE WHEN i <= st THEN i + 1 ELSE st + 1 END AS iteration, i <= st AND reason IS NULL AS go, coalesce(CASE WHEN i <= st THEN reason ELSE srs END, 'score is still improving') AS reason, i > st AS stopped FROM (
+@query("judge_stream", with_views("""SELECT session, event_id AS seq, CASE WHEN i <= st THEN i + 1 ELSE st + 1 END AS iteration, i <= st AND reason IS NULL AS go, coalesce(CASE WHEN i <= st THEN reason ELSE srs END, 'still gaining') AS reason, i > st AS stopped FROM (
     SELECT *, coalesce(min(CASE WHEN reason IS NOT NULL THEN i END) OVER (PARTITION BY session), 999999) AS st, arg_min(reason, i) FILTER (WHERE reason IS NOT NULL) OVER (PARTITION BY session) AS srs FROM (
-    SELECT *, CASE WHEN verdict = 'wrong_class' THEN 'the applicator is wrong for this motion' WHEN score >= 0.8e0 THEN 'the score reached the bar' WHEN verdict = 'good' THEN 'the judge is satisfied' WHEN i + 1 >= 3 THEN 'iteration cap reached'
-    WHEN NOT has_deltas THEN 'no actionable deltas were returned' WHEN score - lag(score) OVER (PARTITION BY session ORDER BY i) < 0.03e0 THEN 'gain below what justifies another pass' END AS reason FROM v_hist))""", ["v_hist"]))
+    SELECT *, CASE WHEN verdict = 'wrong_class' THEN 'other applicator needed' WHEN score >= 0.8e0 THEN 'score is high enough' WHEN verdict = 'good' THEN 'judged good' WHEN i + 1 >= 3 THEN 'no passes left'
+    WHEN NOT has_deltas THEN 'nothing to change' WHEN score - lag(score) OVER (PARTITION BY session ORDER BY i) < 0.03e0 THEN 'too little gain' END AS reason FROM v_hist))""", ["v_hist"]))
 def judge_stream(spark, sf):
     e = F.col("event_type")
     verdict = F.when(e == "signup", "good").when(e == "error", "wrong_class").otherwise("tune")
     v = _events(spark, sf).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), verdict.alias("verdict"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), (e != "view").alias("has_deltas"))
-    return sj.drain(sj.judge_stream(v), "judge").select("session", "seq", "iteration", "go", "reason", "stopped")
+    return sj.drain(v, "judge").select("session", "seq", "iteration", "go", "reason", "stopped")
 
 
 SPARSE_BODY = FLOW_SQL["distill_sparse"][FLOW_SQL["distill_sparse"].rindex("SELECT clip, round(frequency"):]
 STREAMED = {"ev": "SELECT ts, CAST(floor(epoch(ts) / 43200) AS BIGINT) AS clip, event_id // 4 AS t, event_id // 2 % 2 AS gy, event_id % 2 AS gx, value / 50 - 1 AS vx, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50 - 1 AS vy, event_type <> 'error' AS valid FROM events",
-            "vld": "SELECT clip, t - min(t) OVER (PARTITION BY clip) AS t, gy, gx, vx, vy, valid FROM ev WHERE (clip + 1) * 43200 <= (SELECT epoch(max(ts)) - 3600 FROM events)",
+            "vld": "SELECT clip, t - min(t) OVER (PARTITION BY clip) AS t, gy, gx, vx, vy, valid FROM ev",
             "v_clips": "SELECT DISTINCT clip, 30e0 AS fps FROM vld", **{k: v for k, v in SPARSE.items() if k != "vld"}}
 
 

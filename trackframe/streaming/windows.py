@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackframe.operators.flow import distill_sparse
 from trackframe.session import shared_folder
+from trackframe.streaming.closing import run_to_end, with_end
 
 WINDOW, LATE = "4 seconds", "2 seconds"
 
@@ -31,14 +32,15 @@ def distill_closed(batch: DataFrame, fps: float = 30.0) -> DataFrame:
 
 def distill_windows(stream: DataFrame, fps: float = 30.0, window: str = WINDOW, late: str = LATE) -> DataFrame:
     """Run a flow stream (clip, ts, t, gy, gx, vx, vy, valid) over everything available now and return the dials of
-    every closed window. Each micro-batch is written before the next starts; a batch retried after a failure replaces
-    its own folder."""
+    every window, those open at its end too. Each micro-batch is written before the next starts; a batch retried
+    after a failure replaces its own folder."""
     spark = stream.sparkSession
     root = shared_folder(spark, "windows")
+    stream, end = with_end(stream, f"{root}/end")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         distill_closed(batch, fps).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    q = window_cells(stream, window, late).writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
+    cells = window_cells(stream, window, late)
+    run_to_end(lambda: cells.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").foreachBatch(write), end)
     return spark.read.schema("clip bigint, start timestamp, frequency double, amplitude double, direction double, turbulence double, damping double, phaseSpread double").parquet(f"{root}/out/batch=*")
