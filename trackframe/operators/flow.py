@@ -7,9 +7,12 @@ share of the rows is spread over its pixels or frames.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -345,40 +348,67 @@ def grid_tracks(cells: DataFrame, clips: DataFrame, by: Sequence[str] = ("clip",
 
 # ---------------------------------------------------------------- grid optical flow
 
+#: Pixels of a tile's side, frames of a tile.
+TILE, TILE_FRAMES = 64, 16
+SUMS = ("sxx", "sxy", "syy", "sxt", "syt")
+
+
+def _tile_gradients(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients along x, y and t inside a block of gray values (t, y, x); NaN where a neighbour is unknown."""
+    now = g[:-1, 1:-1, 1:-1]
+    return (g[:-1, 1:-1, 2:] - g[:-1, 1:-1, :-2]) * 0.5, (g[:-1, 2:, 1:-1] - g[:-1, :-2, 1:-1]) * 0.5, g[1:, 1:-1, 1:-1] - now
+
+
 def lucas_kanade(gray: DataFrame, width: int = 160, height: int = 120, grid_x: int = 16, grid_y: int = 12, radius: int = 3,
                  min_eigen: float = 40.0, max_speed: float = 6.0, by: Sequence[str] = ("clip",)) -> DataFrame:
     """Gradient-based flow at grid points from gray pixels (by, t, y, x, g); t pairs with t + 1.
 
-    Each pixel hands its value to the positions that need it (itself, four neighbours, the frame
-    before), so the gradients take one shuffle instead of three ordered windows.
+    Pixels travel once, to their tile of space and time, with a border of one pixel and one frame, which
+    makes little more than one row a pixel. Gradients and their products are summed inside the tile over
+    what it has of each grid point's window; the few sums of a point from several tiles are added after.
     """
     by = list(by)
-    roles = {"c": (0, 0, 0), "r": (0, 0, -1), "l": (0, 0, 1), "d": (0, -1, 0), "u": (0, 1, 0), "n": (-1, 0, 0)}
-    sent = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("role"), (F.col("t") + dt).alias("t"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
-        for k, (dt, dy, dx) in roles.items()]))
-    s = gray.select(*by, "g", sent.alias("s")).select(*by, "g", "s.*")
-    inner = (F.col("x") >= 1) & (F.col("x") < width - 1) & (F.col("y") >= 1) & (F.col("y") < height - 1)
-    px = s.filter(inner).groupBy(*by, "t", "y", "x").agg(*[F.max(F.when(F.col("role") == k, F.col("g"))).alias(k) for k in roles])
-    px = px.dropna(subset=list(roles))
-    px = px.select(*by, "t", "y", "x", ((F.col("r") - F.col("l")) * 0.5).alias("ix"), ((F.col("d") - F.col("u")) * 0.5).alias("iy"),
-                   (F.col("n") - F.col("c")).alias("it"))
-    sx, sy = width / grid_x, height / grid_y
-
-    def points(c: str, step: float, count: int) -> Column:
-        near = F.floor(F.col(c) / step).cast("long")
-        reach = int(radius // step) + 1
-        return F.explode(F.sequence(F.greatest(near - reach, F.lit(0)), F.least(near + reach, F.lit(count - 1))))
-
-    w = px.withColumn("gx", points("x", sx, grid_x)).withColumn("gy", points("y", sy, grid_y))
-    w = w.withColumn("px", half_up((F.col("gx") + 0.5) * sx)).withColumn("py", half_up((F.col("gy") + 0.5) * sy))
-    w = w.filter((F.abs(F.col("x") - F.col("px")) <= radius) & (F.abs(F.col("y") - F.col("py")) <= radius))
-    ix, iy, it = F.col("ix"), F.col("iy"), F.col("it")
-    m = w.groupBy(*by, "t", "gy", "gx").agg(F.sum(ix * ix).alias("sxx"), F.sum(ix * iy).alias("sxy"), F.sum(iy * iy).alias("syy"),
-                                            F.sum(ix * it).alias("sxt"), F.sum(iy * it).alias("syt"))
-    tr, det = F.col("sxx") + F.col("syy"), F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
-    eigen = tr / 2 - F.sqrt(F.greatest(F.lit(0.0), tr * tr / 4 - det))
-    ok = (eigen >= min_eigen) & (det != 0)
-    vx = clamp((-F.col("syy") * F.col("sxt") + F.col("sxy") * F.col("syt")) / det, -max_speed, max_speed)
-    vy = clamp((F.col("sxy") * F.col("sxt") - F.col("sxx") * F.col("syt")) / det, -max_speed, max_speed)
-    return m.select(*by, "t", "gy", "gx", F.when(ok, vx).otherwise(0.0).alias("vx"), F.when(ok, vy).otherwise(0.0).alias("vy"), ok.alias("valid"))
+    kept = "".join(f"`{c}` {gray.schema[c].dataType.simpleString()}, " for c in by)
+    y, x, t = F.col("y").cast("long"), F.col("x").cast("long"), F.col("t").cast("long")
+
+    def tiles(c: Column, size: int, before: int, after: int) -> Column:
+        """The tiles that need a place: its own, and those whose border it is."""
+        own, rest = F.floor(c / size).cast("long"), F.pmod(c, F.lit(size))
+        return F.explode(F.array_compact(F.array(own, F.when(rest < after, own - 1), F.when(rest >= size - before, own + 1))))
+
+    sent = gray.filter(F.col("g").isNotNull()).select(*by, t.alias("t"), y.alias("y"), x.alias("x"), F.col("g").cast("double").alias("g"), tiles(t, TILE_FRAMES, 0, 1).alias("_tt"))
+    sent = sent.withColumn("_ty", tiles(F.col("y"), TILE, 1, 1)).withColumn("_tx", tiles(F.col("x"), TILE, 1, 1))
+    mid_x = [math.floor((k + 0.5) * width / grid_x + 0.5) for k in range(grid_x)]
+    mid_y = [math.floor((k + 0.5) * height / grid_y + 0.5) for k in range(grid_y)]
+
+    def sums(rows: pa.Table) -> pa.Table:
+        t0, y0, x0 = (rows[c][0].as_py() * size for c, size in (("_tt", TILE_FRAMES), ("_ty", TILE), ("_tx", TILE)))
+        g = np.full((TILE_FRAMES + 1, TILE + 2, TILE + 2), np.nan)
+        at = tuple(rows[c].to_numpy() - low for c, low in (("t", t0), ("y", y0 - 1), ("x", x0 - 1)))
+        np.fmax.at(g, at, rows["g"].to_numpy())
+        ix, iy, it = _tile_gradients(g)
+        ok = ~(np.isnan(ix) | np.isnan(iy) | np.isnan(it))
+        inner = lambda low, size: (np.arange(low, low + TILE) >= 1) & (np.arange(low, low + TILE) < size - 1)
+        ok &= inner(y0, height)[None, :, None] & inner(x0, width)[None, None, :]
+        ix, iy, it = (np.where(ok, v, 0.0) for v in (ix, iy, it))
+        products = (ix * ix, ix * iy, iy * iy, ix * it, iy * it)
+        out = []
+        reach = lambda mids, low: [(k, max(m - radius - low, 0), min(m + radius + 1 - low, TILE)) for k, m in enumerate(mids) if m + radius >= low and m - radius < low + TILE]
+        for gy, a, b in reach(mid_y, y0):
+            for gx, c, d in reach(mid_x, x0):
+                there = np.flatnonzero(ok[:, a:b, c:d].any((1, 2)))
+                if len(there):
+                    out.append(np.stack([there + t0, np.full(len(there), gy), np.full(len(there), gx), *[p[there, a:b, c:d].sum((1, 2)) for p in products]], 1))
+        got = np.concatenate(out) if out else np.zeros((0, 3 + len(SUMS)))
+        same = {c: pa.repeat(rows[c][0], len(got)) for c in by}
+        return pa.table({**same, **{c: got[:, k].astype(np.int64) for k, c in enumerate(("t", "gy", "gx"))}, **{c: got[:, 3 + k] for k, c in enumerate(SUMS)}})
+
+    part = sent.groupBy(*by, "_tt", "_ty", "_tx").applyInArrow(sums, f"{kept}t long, gy long, gx long, " + ", ".join(f"{c} double" for c in SUMS))
+    m = part.groupBy(*by, "t", "gy", "gx").agg(*[F.sum(c).alias(c) for c in SUMS])
+    # least squares over the window: the symmetric matrix of its gradients, inverted by its determinant
+    xx, xy, yy, xt, yt = (F.col(c) for c in SUMS)
+    area = xx * yy - xy * xy
+    least = (xx + yy - F.hypot(xx - yy, xy * 2)) / 2
+    ok = (least >= min_eigen) & (area != 0)
+    speed = {"vx": xy * yt - yy * xt, "vy": xy * xt - xx * yt}
+    return m.select(*by, "t", "gy", "gx", *[F.when(ok, clamp(v / area, -max_speed, max_speed)).otherwise(0.0).alias(n) for n, v in speed.items()], ok.alias("valid"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions.scalar import fixed
 from trackframe.operators.regions import largest_component
-from trackframe.operators.series import neighbours, prefix_sums, quantiles, salted_join
+from trackframe.operators.series import BLOCK, blocks, neighbours, prefix_sums, quantiles, salted_join
 from trackframe.session import checkpoint
 
 # Fixed thresholds.
@@ -183,26 +186,50 @@ def camera_static(pairs: DataFrame, by: Sequence[str] = ("clip",), clips: DataFr
 def compose_transforms(pairs: DataFrame, by: Sequence[str] = ("clip",)) -> DataFrame:
     """Cumulative product of per-pair similarities, frame 0 to frame i, as a, b, tx, ty of [[a,-b,tx],[b,a,ty]].
 
-    A similarity is a complex map z -> p z + q. Products of p are sums of log|p| and arg p; the offsets
-    are a running sum after dividing by the running product, so everything is prefix sums and no step
-    waits for the one before it.
+    The product does not commute, so it is a scan: blocks of frames are multiplied up each on its own, the
+    blocks' products are scanned the same way, and every frame's product takes that of the blocks before it.
+    Nothing is divided out again, so long zooms stay as exact as the steps.
     """
     by = list(by)
-    a, b = F.get("m", F.lit(0)), F.get("m", F.lit(3))
-    d = pairs.select(*by, "t", F.log(F.hypot(a, b)).alias("_lr"), F.atan2(b, a).alias("_th"), F.get("m", F.lit(2)).alias("_qx"), F.get("m", F.lit(5)).alias("_qy"))
-    d = prefix_sums(d, by, "t", {"lr": "_lr", "th": "_th"})
-    inv = F.exp(-F.col("lr"))
-    # q divided by the running product
-    d = d.withColumn("_ux", inv * (F.col("_qx") * F.cos("th") + F.col("_qy") * F.sin("th"))).withColumn("_uy", inv * (F.col("_qy") * F.cos("th") - F.col("_qx") * F.sin("th")))
-    d = prefix_sums(d, by, "t", {"sx": "_ux", "sy": "_uy"})
-    r = F.exp("lr")
-    first = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty")))
-    step = F.array(F.struct((F.col("t") + 1).alias("i"), (r * F.cos("th")).alias("a"), (r * F.sin("th")).alias("b"),
-                            (r * (F.col("sx") * F.cos("th") - F.col("sy") * F.sin("th"))).alias("tx"), (r * (F.col("sx") * F.sin("th") + F.col("sy") * F.cos("th"))).alias("ty")))
-    out = d.select(*by, F.explode(F.when(F.col("t") == 0, F.concat(first, step)).otherwise(step)).alias("c"))
+    m = lambda k: F.get("m", F.lit(k)).cast("double")
+    d = scan_similarities(pairs.select(*by, F.col("t").cast("long").alias("t"), m(0).alias("a"), m(3).alias("b"), m(2).alias("tx"), m(5).alias("ty")), by)
+    one = F.struct(F.lit(0).cast("long").alias("i"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"))
+    step = F.struct((F.col("t") + 1).alias("i"), "a", "b", "tx", "ty")
+    out = d.select(*by, F.explode(F.when(F.col("t") == 0, F.array(one, step)).otherwise(F.array(step))).alias("c"))
     return out.select(*by, "c.i", *[fixed(F.col(f"c.{n}"), 6).alias(n) for n in ("a", "b", "tx", "ty")])
 
 
+def scan_similarities(maps: DataFrame, by: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """(by, t, a, b, tx, ty): the product of all maps of a group up to t, the last one applied last."""
+    by = list(by)
+    kept = "".join(f"`{c}` {maps.schema[c].dataType.simpleString()}, " for c in by)
+
+    def multiply(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t")
+        p, q, out = 1.0 + 0.0j, 0.0j, []
+        for a, b, x, y in zip(*(rows[c].to_pylist() for c in ("a", "b", "tx", "ty")), strict=True):
+            turn = complex(a, b)
+            p, q = turn * p, turn * q + complex(x, y)
+            out.append((p.real, p.imag, q.real, q.imag))
+        got = np.array(out)
+        last = np.arange(len(got)) == len(got) - 1
+        return pa.table({**{c: rows[c] for c in [*by, "t"]}, **{c: got[:, k] for k, c in enumerate(("a", "b", "tx", "ty"))}, "last": last})
+
+    inside = maps.withColumn("_blk", blocks("t", block)).groupBy(*by, "_blk").applyInArrow(multiply, f"{kept}t long, a double, b double, tx double, ty double, last boolean")
+    inside = checkpoint(inside.withColumn("_blk", blocks("t", block)))
+    ends = inside.filter("last")
+    if ends.filter(F.col("_blk") > 0).isEmpty():
+        return inside.drop("_blk", "last")
+    whole = scan_similarities(ends.select(*by, F.col("_blk").alias("t"), "a", "b", "tx", "ty"), by, block)
+    # the nearest block before may be some blocks off
+    order = ends.select(*by, "_blk").withColumn("_next", F.lead("_blk").over(W.partitionBy(*by).orderBy("_blk")))
+    before = whole.join(order.withColumnRenamed("_blk", "t"), [*by, "t"]).select(*by, F.col("_next").alias("_blk"), *[F.col(c).alias(f"_{c}") for c in ("a", "b", "tx", "ty")])
+    d = inside.join(before, [*by, "_blk"], "left").fillna({"_a": 1.0, "_b": 0.0, "_tx": 0.0, "_ty": 0.0})
+    a, b = F.col("a"), F.col("b")
+    return d.select(*by, "t", (a * F.col("_a") - b * F.col("_b")).alias("a"), (b * F.col("_a") + a * F.col("_b")).alias("b"),
+                    (a * F.col("_tx") - b * F.col("_ty") + F.col("tx")).alias("tx"), (b * F.col("_tx") + a * F.col("_ty") + F.col("ty")).alias("ty"))
+
+
 def depth_summary(depth: DataFrame, mask: DataFrame, by: Sequence[str] = ("clip",)) -> DataFrame:
     """Scene mean, object mean, spread and rank (share of the frame that is farther), averaged over the sampled frames.
 

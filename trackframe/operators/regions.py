@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,31 +94,99 @@ def merge_circular_bins(sig: DataFrame, by: Sequence[str] = ("clip",)) -> DataFr
     return d.join(F.broadcast(lookup), ["_ring", "_mask", "bin"]).drop("_ring", "_mask")
 
 
-def components8(cells: DataFrame, by: Sequence[str], y: str = "gy", x: str = "gx") -> DataFrame:
+#: Side of the tiles that are labelled in one go.
+TILE = 256
+
+
+def _row_runs(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of cells sorted by row and column, each once: the run of every cell, and the pairs of runs that touch.
+
+    A run is a stretch of neighbouring cells of one row. Two rows of m and n runs touch in m + n - 1 places
+    at most, so there are fewer than two pairs a run.
+    """
+    fresh = np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) != 1)])
+    head = np.flatnonzero(fresh)
+    last = np.concatenate([head[1:], [len(y)]]) - 1
+    wide = int(x.max() - x.min()) + 4
+    key = lambda row, col: (row - y[0]) * wide + (col - x.min() + 1)
+    row, low, high = y[head], x[head], x[last]
+    start = np.searchsorted(key(row, high), key(row + 1, low - 1))
+    stop = np.searchsorted(key(row, low), key(row + 1, high + 1), side="right")
+    n = np.maximum(stop - start, 0)
+    above = np.repeat(np.arange(len(head)), n)
+    below = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    return np.cumsum(fresh) - 1, above, below
+
+
+def _label_tile(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each cell of a tile the number of the first cell of its component, in the order of rows and columns given."""
+    run, above, below = _row_runs(y, x)
+    parent = list(range(int(run[-1]) + 1))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for a, b in zip(above.tolist(), below.tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    head = np.flatnonzero(np.diff(run, prepend=-1))
+    return head[np.array([top(k) for k in range(len(parent))])[run]]
+
+
+def components8(cells: DataFrame, by: Sequence[str], y: str = "gy", x: str = "gx", tile: int = TILE) -> DataFrame:
     """Label 8-connected components; `comp` is a struct (y, x), the first cell of the component by row and column.
 
-    Each round takes the smallest label among neighbours, then jumps to that label's own label, so
-    long shapes settle in a logarithmic number of rounds. Lineage is cut every round.
+    Tiles are labelled each on its own, over row runs that touch. What is left is the graph of tile labels
+    that meet across a border, with a few nodes a tile: its rounds take the smallest label among neighbours,
+    then that label's own, so long shapes settle in a logarithmic number of rounds. Lineage is cut every
+    round; images that fit a tile have no border and no round.
     """
     by = list(by)
-    cell = F.struct(F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x"))
-    nodes = checkpoint(cells.select(*by, cell.alias("v")).distinct())
-    step = [F.struct((F.col("v.y") + dy).alias("y"), (F.col("v.x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    edges = checkpoint(nodes.withColumn("w", F.explode(F.array(*step))).join(nodes.withColumnRenamed("v", "w"), by + ["w"], "left_semi"))
-    label = nodes.withColumn("l", F.col("v"))
+    kept = "".join(f"`{c}` {cells.schema[c].dataType.simpleString()}, " for c in by)
+    cy, cx = F.col(y).cast("long"), F.col(x).cast("long")
+    at = lambda c: F.floor(c / tile).cast("long")
+    places = cells.select(*by, cy.alias("_y"), cx.alias("_x"), at(cy).alias("_ty"), at(cx).alias("_tx"))
+
+    def label(t: pa.Table) -> pa.Table:
+        r, c = t["_y"].to_numpy(), t["_x"].to_numpy()
+        cell = np.unique(np.stack([r, c], 1), axis=0)
+        first = cell[_label_tile(cell[:, 0], cell[:, 1])]
+        same = {k: pa.repeat(t[k][0], len(cell)) for k in by}
+        return pa.table({**same, "_y": cell[:, 0], "_x": cell[:, 1], "_ly": first[:, 0], "_lx": first[:, 1]})
+
+    own = F.struct(F.col("_ly").alias("y"), F.col("_lx").alias("x"))
+    local = checkpoint(places.groupBy(*by, "_ty", "_tx").applyInArrow(label, f"{kept}_y long, _x long, _ly long, _lx long").select(*by, "_y", "_x", own.alias("v")))
+    edge = F.pmod("_y", F.lit(tile)).isin(0, tile - 1) | F.pmod("_x", F.lit(tile)).isin(0, tile - 1)
+    rim = local.filter(edge)
+    step = [F.struct((F.col("_y") + dy).alias("_y"), (F.col("_x") + dx).alias("_x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    sent = rim.withColumn("_ty", at(F.col("_y"))).withColumn("_tx", at(F.col("_x"))).withColumn("_s", F.explode(F.array(*step)))
+    sent = sent.filter((at(F.col("_s._y")) != F.col("_ty")) | (at(F.col("_s._x")) != F.col("_tx"))).select(*by, "_s.*", "v")
+    edges = checkpoint(sent.join(rim.withColumnRenamed("v", "w"), [*by, "_y", "_x"]).select(*by, "v", "w").distinct())
+    if edges.isEmpty():
+        ids = local.select(*by, "_y", "_x", F.col("v").alias("comp"))
+    else:
+        names = _settled(edges, by)
+        ids = local.join(names, [*by, "v"], "left").select(*by, "_y", "_x", F.coalesce("l", "v").alias("comp"))
+    ids = ids.select(*by, F.col("_y").alias(y), F.col("_x").alias(x), "comp")
+    return cells.join(ids, by + [y, x])
+
+
+def _settled(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, v, l): the smallest node reachable from every node of the links (by, v, w), which go both ways."""
+    label = edges.select(*by, "v", F.col("v").alias("l")).distinct()
     while True:
-        near = edges.join(label.select(*by, F.col("v").alias("w"), F.col("l").alias("lw")), by + ["w"])
+        near = edges.join(label.select(*by, F.col("v").alias("w"), F.col("l").alias("lw")), [*by, "w"])
         near = near.groupBy(*by, "v").agg(F.min("lw").alias("m"))
-        low = checkpoint(label.join(near, by + ["v"], "left")
-                         .select(*by, "v", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l")))
+        low = checkpoint(label.join(near, [*by, "v"], "left").select(*by, "v", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l")))
         jump = low.select(*by, F.col("v").alias("l"), F.col("l").alias("l2"))
-        nxt = checkpoint(low.join(jump, by + ["l"], "left").select(
-            *by, "v", F.least("l", F.coalesce("l2", "l")).alias("l"), "old"))
+        nxt = checkpoint(low.join(jump, [*by, "l"], "left").select(*by, "v", F.least("l", F.coalesce("l2", "l")).alias("l"), "old"))
         label = nxt.select(*by, "v", "l")
         if nxt.filter(F.col("l") != F.col("old")).isEmpty():
-            break
-    ids = label.select(*by, F.col("v.y").alias(y), F.col("v.x").alias(x), F.col("l").alias("comp"))
-    return cells.join(ids, by + [y, x])
+            return label
 
 
 def largest_component(mask: DataFrame, by: Sequence[str] = ("clip",), y: str = "y", x: str = "x") -> DataFrame:
