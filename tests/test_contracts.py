@@ -60,7 +60,7 @@ def test_labels(spark):
     labels, notes = ct.normalize_layer_labels(d, layers)
     got = {r.id: (r.motion_class, r.applicator, r.deforms, r.confidence) for r in labels.collect()}
     assert got == {"L1": ("cloth", "wave", "mesh", 0.91), "L2": ("flock", "flock_drift", "rigid", 1.0), "L3": ("", "", "rigid", 0.5)}
-    assert {(r.id, r.note.split(";")[0]) for r in notes.collect()} == {("", "label is not an object"), ("L9", "unknown layer"), ("L4", "came back unlabelled")}
+    assert {(r.id, r.note.split(";")[0]) for r in notes.collect()} == {("", "label is not an object"), ("L9", "unknown layer"), ("L4", "has no label")}
 
 
 def test_names(spark):

@@ -13,13 +13,21 @@ LEFT_WORDS = r"\b(left|lt|lh|ll)\b|^l[\s_-]"
 RIGHT_WORDS = r"\b(right|rt|rh|rl)\b|^r[\s_-]"
 
 
+# Marks that programs put on copied layers (fixed).
+COPY_MARKS = ("copy", "copi", "copis", "copie", "copies")
+
+
 def plain_name(name: Column) -> Column:
-    """Layer name in lower case with camel case split and copy marks removed."""
-    n = F.regexp_replace(F.coalesce(name, F.lit("")), r"([a-z])([A-Z])", "$1 $2")
-    n = F.lower(F.regexp_replace(n, r"[_\-.]+", " "))
-    n = F.regexp_replace(n, r"\b(copy|copie?s?)\b", " ")
-    n = F.regexp_replace(n, r"\s+\d+\s*$", " ")
-    return F.trim(F.regexp_replace(n, r"\s+", " "))
+    """The words of a layer name in lower case, without copy marks and a number at the end.
+
+    Words are parted by white space, `_`, `-` and `.`, and where a capital follows a small letter. A number
+    that is all there is stays.
+    """
+    cut = F.split(F.coalesce(name, F.lit("")), r"[\s_\-.]+|(?<=[a-z])(?=[A-Z])")
+    words = F.filter(F.transform(cut, F.lower), lambda w: (w != "") & ~w.isin(*COPY_MARKS))
+    end = F.try_element_at(words, F.lit(-1))
+    numbered = end.rlike("^[0-9]+$") & ((F.size(words) > 1) | (F.get(cut, F.lit(0)) != end))
+    return F.array_join(F.slice(words, F.lit(1), F.size(words) - F.coalesce(numbered, F.lit(False)).cast("int")), " ")
 
 
 def limb_role(name: Column) -> Column:

@@ -179,8 +179,8 @@ def camera_static(pairs: DataFrame, by: Sequence[str] = ("clip",), clips: DataFr
     d = c.join(med, by, "left")
     static = F.coalesce(F.col("med") < STATIC_PX, F.lit(True))
     return d.select(*by, static.alias("is_static"), F.when(static | (F.col("none") == F.col("pairs")), "none").otherwise("affine").alias("model"), F.round(F.coalesce("med", F.lit(0.0)), 3).alias("residual_px"),
-                    F.array_compact(F.array(F.when(F.col("none") > 0, F.concat("none", F.lit("/"), "pairs", F.lit(" frame-pair(s) lacked reliable background features"))),
-                                            F.when(F.col("med").isNull(), F.lit("no frame-pair yielded a background transform; assuming static camera")))).alias("warnings"))
+                    F.array_compact(F.array(F.when(F.col("none") > 0, F.concat("none", F.lit("/"), "pairs", F.lit(" pairs without background points"))),
+                                            F.when(F.col("med").isNull(), F.lit("no pair has a transform, camera taken as fixed")))).alias("warnings"))
 
 
 def compose_transforms(pairs: DataFrame, by: Sequence[str] = ("clip",)) -> DataFrame:

@@ -54,10 +54,10 @@ def build_path(track: DataFrame, clips: DataFrame, by: Sequence[str] = ("clip",)
     conf = F.when(F.col("total_frames") > 0, F.round(F.try_divide(F.col("raw"), F.col("total_frames")), 3))
     lab = F.col("label")
     notes = F.array_compact(F.array(
-        F.when(F.col("interpolated") > 0, F.concat(F.lit("interpolated "), F.col("interpolated"), F.lit(" frame(s) the detector missed across the '"), lab, F.lit("' track"))),
-        F.when(net < HOVER, F.format_string("'%s' moved %.3f of the frame end-to-end; it is hovering rather than travelling", lab, net)),
-        F.when(F.greatest("w", "h") > FILLS_FRAME, F.format_string("the tracked '%s' box covers %.2fx%.2f of the frame; that is scene-sized", lab, F.col("w"), F.col("h"))),
-        F.when(conf < SHORT_TRACK, F.format_string("'%s' was tracked for only %.0f%% of the clip", lab, conf * 100))))
+        F.when(F.col("interpolated") > 0, F.concat(F.lit("gaps filled: "), F.col("interpolated"), F.lit(" frames of '"), lab, F.lit("'"))),
+        F.when(net < HOVER, F.format_string("hovering: '%s' ends %.3f of the frame from its start", lab, net)),
+        F.when(F.greatest("w", "h") > FILLS_FRAME, F.format_string("large box: '%s' fills %.2f by %.2f of the frame", lab, F.col("w"), F.col("h"))),
+        F.when(conf < SHORT_TRACK, F.format_string("short track: '%s' is seen in %.0f%% of the clip", lab, conf * 100))))
     summary = s.select(
         *by, "label", "frames", F.round("fps", 2).alias("fps"), fixed(F.col("x0"), 5).alias("start_x"), fixed(F.col("y0"), 5).alias("start_y"),
         fixed(F.col("w"), 5).alias("size_w"), fixed(F.col("h"), 5).alias("size_h"), fixed(F.col("dx"), 5).alias("dx"), fixed(F.col("dy"), 5).alias("dy"),

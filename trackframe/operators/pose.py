@@ -219,11 +219,11 @@ def gait(pose: DataFrame, clips: DataFrame, by: Sequence[str] = ("clip",), depth
         dperiod = F.when(both, F.rint((F.col("period_l") + F.col("period_r")) / 2 * F.col("fps")).cast("long")).otherwise(F.lit(0).cast("long"))
     else:
         admit, extra, dscore, dperiod = F.lit(False), [F.lit(None).cast(t).alias(n) for n, t in cols.items()], F.lit(None).cast("double"), F.lit(None).cast("long")
-    why = (F.when(~enough, F.concat(F.lit("only "), F.col("n"), F.lit(" detected frames; too few to look for a cycle")))
-           .when(walk & ~admit, F.lit(None).cast("string")).when(admit, "the stride is along the camera axis, not across the picture")
-           .when(F.col("ankle_visibility") < ANKLE_VISIBLE, "the ankles are barely visible; a full-body framing is what carries a stride")
-           .when(F.col("swing") < GAP_MIN, "the feet never part horizontally; a view from the side is what carries a stride")
-           .otherwise("the feet part but not on a repeating cycle"))
+    why = (F.when(~enough, F.concat(F.lit("only "), F.col("n"), F.lit(" frames with a body, not enough for a cycle")))
+           .when(walk & ~admit, F.lit(None).cast("string")).when(admit, "walks toward or away from the camera")
+           .when(F.col("ankle_visibility") < ANKLE_VISIBLE, "ankles mostly out of sight")
+           .when(F.col("swing") < GAP_MIN, "feet stay together in this view")
+           .otherwise("feet move without a rhythm"))
     fin = F.when(admit, dscore).otherwise(F.col("score"))
     return d.select(*by, fin.alias("score"), F.when(~enough, F.lit(0).cast("long")).when(admit, dperiod).when(F.col("score") > 0, F.col("lag")).otherwise(F.lit(0).cast("long")).alias("period"),
                     F.when(enough, F.round("swing", 3)).otherwise(0.0).alias("foot_gap"), F.when(enough, F.col("corr")).otherwise(0.0).alias("periodicity"), "ankle_visibility",

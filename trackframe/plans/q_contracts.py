@@ -82,8 +82,8 @@ def decomposition_documents(spark, sf):
     return ct.normalize_decomposition(_raw(spark, sf, RAW_MOTIONS))[2]
 
 
-@query("decomposition_notes", with_views("""SELECT r.doc_id, r.k AS "at", CASE WHEN NOT r.is_obj THEN 'not an object; skipped' WHEN kp.doc_id IS NULL THEN 'unknown class ''' || r.cls || '''; skipped' ELSE 'bad bbox; defaulted to full frame' END AS note
-    FROM rd r LEFT JOIN kept kp ON kp.doc_id = r.doc_id AND kp.k = r.k WHERE kp.doc_id IS NULL OR NOT kp.bok UNION ALL SELECT doc_id, NULL, 'not valid JSON; kept in quarantine' FROM js WHERE j IS NULL""", [], MOTIONS))
+@query("decomposition_notes", with_views("""SELECT r.doc_id, r.k AS "at", CASE WHEN NOT r.is_obj THEN 'left out: item without fields' WHEN kp.doc_id IS NULL THEN 'left out: class ''' || r.cls || '''' ELSE 'box unusable, whole frame taken' END AS note
+    FROM rd r LEFT JOIN kept kp ON kp.doc_id = r.doc_id AND kp.k = r.k WHERE kp.doc_id IS NULL OR NOT kp.bok UNION ALL SELECT doc_id, NULL, 'unreadable text, set apart' FROM js WHERE j IS NULL""", [], MOTIONS))
 def decomposition_notes(spark, sf):
     return ct.normalize_decomposition(_raw(spark, sf, RAW_MOTIONS))[1]
 
@@ -214,13 +214,13 @@ def normalize_skeleton(spark, sf):
 # ---------------------------------------------------------------- swatches: a good one of each kind, then one thing broken
 
 BREAKS = {  # kind, case -> rules that must fire
-    ("texture", 1): "schema_version must be 1", ("texture", 2): "applicator reads another payload", ("texture", 3): "applicator must be one of the known ones", ("texture", 4): "fps must be in (0, 240]",
-    ("texture", 5): "confidence must be in [0,1]", ("texture", 6): "confidence_of must say what confidence measures", ("texture", 7): "params.driftY must be numeric", ("texture", 8): "texture swatch needs bulk dx, dy",
-    ("texture", 9): "texture swatch needs a non-empty tracks list", ("texture", 10): "every track must have the same length", ("texture", 11): "frames disagrees with the tracks", ("texture", 12): "must not carry the path payload",
-    ("texture", 13): "track_stride must be an int >= 1", ("texture", 14): "class is not a known motion class",
-    ("skeleton", 1): "skeleton swatch needs a pose payload", ("skeleton", 2): "pose payload needs a non-empty frames list", ("skeleton", 3): "pose.subject must be a known subject", ("skeleton", 4): "pose payload needs named joints",
-    ("path", 1): "path payload needs >= 2 points", ("path", 2): "frames disagrees with the path", ("path", 3): "path payload needs the tracked object's label", ("path", 4): "path payload needs a travel summary",
-    ("path", 5): "must not carry the texture payload field params", ("path", 6): "every path point must be [frame, dx, dy]", ("path", 7): "path swatch needs a path payload",
+    ("texture", 1): "version is not 1", ("texture", 2): "applicator does not fit the kind", ("texture", 3): "applicator outside the list", ("texture", 4): "fps outside 0 to 240",
+    ("texture", 5): "confidence outside 0 to 1", ("texture", 6): "confidence without meaning", ("texture", 7): "dial without number: driftY", ("texture", 8): "texture without common motion",
+    ("texture", 9): "texture without tracks", ("texture", 10): "tracks of several lengths", ("texture", 11): "frames differ from the tracks' length", ("texture", 12): "path part out of place",
+    ("texture", 13): "stride below 1", ("texture", 14): "class outside the list",
+    ("skeleton", 1): "skeleton without pose", ("skeleton", 2): "pose without frames", ("skeleton", 3): "pose subject outside the list", ("skeleton", 4): "pose without joint names",
+    ("path", 1): "path with fewer than 2 points", ("path", 2): "frames differ from the path's length", ("path", 3): "path without its object's label", ("path", 4): "path without summary",
+    ("path", 5): "texture part out of place: params", ("path", 6): "path point with other than three numbers", ("path", 7): "path part missing",
 }
 
 
@@ -315,7 +315,7 @@ def normalize_judgement(spark, sf):
                                      at("damping").alias("d_damping"), at("phaseSpread").alias("d_phase"), F.size("warnings").alias("warnings"), F.size("axes").alias("axes"))
 
 
-@query("validate_judgement", with_views("""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'score_of must say what the score measures' || CASE WHEN bare THEN '; ' ELSE '' END ELSE '' END || CASE WHEN bare THEN 'verdict ''tune'' needs at least one delta to be actionable' ELSE '' END AS errors FROM (
+@query("validate_judgement", with_views("""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'score without meaning' || CASE WHEN bare THEN '; ' ELSE '' END ELSE '' END || CASE WHEN bare THEN 'verdict tune without offsets' ELSE '' END AS errors FROM (
     SELECT *, verdict = 'tune' AND (NOT obj OR d IN (0, 4)) AS bare FROM jn)""", [], JUDGE))
 def validate_judgement(spark, sf):
     d = _judged(spark, sf).withColumn("score_of", F.when(F.col("doc_id") % 4 == 1, "vibes").otherwise("class_plausibility")).withColumn("frames_judged", F.lit(8))
@@ -364,8 +364,8 @@ def normalize_layer_labels(spark, sf):
     return _labels(spark, sf)[0].drop("notes")
 
 
-@query("layer_label_notes", """SELECT o_orderkey AS doc_id, id, note FROM orders JOIN (VALUES ('', 'label is not an object; skipped', 0), ('L9', 'unknown layer; skipped', 0), ('L1', 'labelled twice; kept the first', 0), ('L4', 'came back unlabelled', 0), ('L1', 'unknown motion_class; treated as ''should not move''', 2)) q(id, note, need) ON need = 0 OR o_orderkey % 5 = 2 WHERE o_orderkey % 30 <> 0
-    UNION ALL SELECT o_orderkey, id, 'came back unlabelled' FROM orders CROSS JOIN (VALUES ('L1'), ('L2'), ('L4')) q(id) WHERE o_orderkey % 30 = 0""")
+@query("layer_label_notes", """SELECT o_orderkey AS doc_id, id, note FROM orders JOIN (VALUES ('', 'left out: label without fields', 0), ('L9', 'left out: no such layer', 0), ('L1', 'second label left out', 0), ('L4', 'has no label', 0), ('L1', 'no such motion class, taken as none', 2)) q(id, note, need) ON need = 0 OR o_orderkey % 5 = 2 WHERE o_orderkey % 30 <> 0
+    UNION ALL SELECT o_orderkey, id, 'has no label' FROM orders CROSS JOIN (VALUES ('L1'), ('L2'), ('L4')) q(id) WHERE o_orderkey % 30 = 0""")
 def layer_label_notes(spark, sf):
     return _labels(spark, sf)[1]
 

@@ -79,7 +79,7 @@ def path_summary(spark, sf):
     d = v_day(spark, sf)
     s = pt.build_path(d, _clips(d))[1]
     has = lambda text, code: F.when(F.exists("warnings", lambda w: w.contains(text)), code).otherwise(0)
-    return s.withColumn("warned", has("interpolated", 1) + has("hovering", 2) + has("scene-sized", 4) + has("tracked for only", 8)).drop("warnings")
+    return s.withColumn("warned", has("gaps filled", 1) + has("hovering", 2) + has("large box", 4) + has("short track", 8)).drop("warnings")
 
 
 GAPPY = {"spine": "SELECT clip, lo + k AS t, v.cx, v.cy FROM (SELECT clip, min(t) AS lo, max(t) AS hi FROM v_day GROUP BY clip) JOIN (SELECT unnest(range(0, 40)) AS k) ON lo + k <= hi LEFT JOIN (SELECT clip AS c2, t AS t2, cx, cy FROM v_day WHERE (t * 7 + clip) % 5 > 1) v ON c2 = clip AND t2 = lo + k",
