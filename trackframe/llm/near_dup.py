@@ -65,18 +65,22 @@ def least_shared(k: int, part: float, miss: float = MISS) -> int:
     return k
 
 
-def _hashed(docs: DataFrame, width: int, name: str, keep: int | None = None) -> DataFrame:
-    """(doc_id, tie, n, h1, h2, name): size and two hashes of each text's set, and its `keep` smallest values, or all."""
+def _hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two hashes of each set: what tells sets apart."""
+    total = np.array([int(x.sum(dtype=np.uint64)) for x in sets], np.uint64).view(np.int64)
+    other = np.array([int(np.bitwise_xor.reduce(_mix(x))) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+    return np.fromiter(map(len, sets), np.int64, len(sets)), total, other
+
+
+def _signatures(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """(doc_id, tie, n, h1, h2, sketch): the text's hash, its set's size and hashes, and its `k` smallest values."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, BATCH):
             sets = shingle_sets(b.column(1), width)
-            total = np.array([int(x.sum(dtype=np.uint64)) for x in sets], np.uint64).view(np.int64)
-            other = np.array([int(np.bitwise_xor.reduce(_mix(x))) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            size = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(total), pa.array(other), pa.array([x[:keep].tobytes() for x in sets], pa.binary())], names=["doc_id", "tie", "n", "h1", "h2", name])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, _hashes(sets)), pa.array([x[:k].tobytes() for x in sets], pa.binary())], names=["doc_id", "tie", "n", "h1", "h2", "sketch"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id long, tie long, n long, h1 long, h2 long, {name} binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, h1 long, h2 long, sketch binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -91,12 +95,21 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int) -> DataFrame:
-    """(rep, set) of the classes `used`, from the text of one document each: that of the class's smallest id."""
-    # written, so that the planner knows how narrow it is beside the texts
-    of = checkpoint(classes.join(used, "rep", "left_semi").select(F.col("low").alias("doc_id"), "n", "h1", "h2", "rep"))
-    found = _hashed(docs.join(of.select("doc_id").distinct(), "doc_id", "left_semi"), width, "set")
-    # an id may have several texts: the class tells which
-    return found.join(of, ["doc_id", "n", "h1", "h2"]).select("rep", "set").dropDuplicates(["rep"])
+    """(rep, set) of the classes `used`, from the text of one document each: that of the class's smallest id.
+
+    An id may have several texts; the one whose set is the class's is told by its hashes.
+    """
+    of = classes.join(used, "rep", "left_semi").select(F.col("low").alias("doc_id"), "n", "h1", "h2", "rep")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, BATCH):
+            sets = shingle_sets(b.column(0), width)
+            same = np.all([own == b.column(k).to_numpy() for k, own in enumerate(_hashes(sets), 2)], axis=0)
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(same)), pa.array([x.tobytes() for x, ok in zip(sets, same, strict=True) if ok], pa.binary())], names=["rep", "set"])
+
+    # classes grow with the documents: texts and classes meet by id at every size
+    met = docs.join(of.hint("merge"), "doc_id").select("text", "rep", "n", "h1", "h2")
+    return met.mapInArrow(run, "rep long, set binary").dropDuplicates(["rep"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int, k: int, shared: int) -> bool:
@@ -237,7 +250,7 @@ def _grouped(docs: DataFrame, num: int, den: int, width: int = SHINGLE, k: int =
     """
     small_batches(docs.sparkSession)
     need = least_shared(k, num / den, miss)
-    sig = checkpoint(_hashed(docs, width, "sketch", k))
+    sig = checkpoint(_signatures(docs, width, k))
     classes = sig.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("sketch").alias("sketch"))
     classes = checkpoint(classes.withColumn("rep", F.monotonically_increasing_id()))  # a written number: ids may be shared by several texts
 

@@ -63,6 +63,8 @@ def merges(path: str) -> Merges:
     if len(single) != 512 or len(set(order)) != len(order) or any([x.id for x in alone(t)] != [vocab[t]] for t in merged):
         return Merges(b"", np.zeros(0, np.uint8), np.zeros(0, kind))
     spelt = [raw(t) for t in order]
+    del inside, pairs, merged
+    released()
     return Merges(b"".join(spelt), np.fromiter(map(len, spelt), np.uint8, len(spelt)), np.array([vocab[t] for t in order], kind))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import Ids, batches, hash_names, keyed, tokens
+from trackframe.llm.common import Ids, batches, hash_names, keyed, released, tokens
 
 #: Hashed weights as a power of two; rated rows that train at most; passes; step; pull towards 0;
 #: and rated rows that a slot needs to have a weight.
@@ -81,7 +81,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     for at, _ in rows:
         often[at] += 1
     # what few rated rows have would only be learnt by heart
-    rows = [(at[k], value[k]) for at, value in rows for k in [often[at] >= least]]
+    for i, (at, value) in enumerate(rows):
+        k = often[at] >= least
+        rows[i] = at[k], value[k]
     for _ in range(epochs if len(rows) else 0):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), 128):
@@ -133,7 +135,13 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3, rated: int = RA
 
     rows = keyed(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade")).mapInArrow(run, "doc_id long, grade int, slots binary, parts binary")
     held = sorted((r.doc_id, r.grade, bytes(r.slots), bytes(r.parts)) for r in rows.toLocalIterator())
-    return fit([(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for _, _, s, v in held], np.array([g for _, g, _, _ in held], np.int64), n_grades, bits)
+    grades = np.array([g for _, g, _, _ in held], np.int64)
+    for i, (_, _, slots, parts) in enumerate(held):  # one row after the other gives way to its arrays
+        held[i] = np.frombuffer(slots, np.int32), np.frombuffer(parts, np.float32)
+    model = fit(held, grades, n_grades, bits)
+    del held
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: Model, also: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
