@@ -60,7 +60,7 @@ def test_labels(spark):
     labels, notes = ct.normalize_layer_labels(d, layers)
     got = {r.id: (r.motion_class, r.applicator, r.deforms, r.confidence) for r in labels.collect()}
     assert got == {"L1": ("cloth", "wave", "mesh", 0.91), "L2": ("flock", "flock_drift", "rigid", 1.0), "L3": ("", "", "rigid", 0.5)}
-    assert {(r.id, r.note.split(";")[0]) for r in notes.collect()} == {("", "label is not an object"), ("L9", "unknown layer"), ("L4", "has no label")}
+    assert {(r.id, r.note) for r in notes.collect()} == {("", "left out: label without fields"), ("L9", "left out: no such layer"), ("L4", "has no label")}
 
 
 def test_names(spark):
@@ -78,3 +78,11 @@ def test_nearest_is_exact(spark):
     b = [(1, i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(30)]
     got = {r.a: r.b for r in mt.nearest(spark.createDataFrame(a, "g long, a long, ax double, ay double"), spark.createDataFrame(b, "g long, b long, bx double, by_ double"), ["g"], "a", "b").collect()}
     assert got == {i: min(b, key=lambda q: (q[2] - x) ** 2 + (q[3] - y) ** 2)[1] for _, i, x, y in a}
+
+
+def test_a_document_is_parsed_once_and_an_item_read_once(spark):
+    df = spark.createDataFrame([(1, '{"motions": [{"class": "flow", "bbox": [0, 0, 1, 1]}], "verdict": "tune"}')], "doc_id long, raw string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    motions, _, documents = ct.normalize_decomposition(df)
+    for p, reads in ((plan(motions), 6), (plan(documents), 4), (plan(ct.normalize_judgement(df)), 6)):
+        assert p.count("parseJson") == 1 and p.count("variant_get") <= reads
