@@ -136,3 +136,15 @@ def test_motion_documents_round_trip(spark, tmp_path):
     d = spark.createDataFrame([("a", [[0.1, 0.2], [0.3, 0.4]])], "id string, tracks array<array<double>>")
     dc.write_motion_json(d, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().tracks == [[0.1, 0.2], [0.3, 0.4]]
+
+
+def test_pose_documents_keep_gaps_and_long_clips(spark, tmp_path):
+    rows = [(clip, f, "nose" if k else "l_sho", float(f), 0.25, 0.5, -1.0) for clip in (3, 4) for f in (0, 2, 159, 160, 400) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "clip long, frame long, joint string, x double, y double, vis double, z double")
+    dc.write_motion_json(dc.nest_pose(df), str(tmp_path / "poses"))
+    read = dc.read_motion_json(spark, str(tmp_path / "poses"), lines=True)
+    assert read.count() == 6
+    assert {r.id: (r.pose.detected, r.pose.total) for r in read.collect()}["3/0"] == (3, 160)
+    clip, first = dc.place_of()
+    back = dc.pose_rows(read).select(clip.alias("clip"), (first + F.col("frame")).alias("frame"), "x", "y", "vis", "z").collect()
+    assert sorted(map(tuple, back)) == sorted((c, f, x, y, v, z) for c, f, _, x, y, v, z in rows)
