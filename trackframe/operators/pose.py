@@ -146,6 +146,22 @@ def skeleton_confidence(pose: DataFrame, frames: DataFrame, by: Sequence[str] =
     return d.join(v, by, "left").select(*by, "total", "detected", F.coalesce("mean_visibility", F.lit(0.0)).alias("mean_visibility"), F.round(F.col("detected") / F.greatest(F.lit(1), F.col("total")), 3).alias("detection_ratio"))
 
 
+def subject_confidence(frames: DataFrame, pose: DataFrame, hands: DataFrame, by: Sequence[str] = ("clip",)) -> DataFrame:
+    """(by, subject, confidence, confidence_of): what each kind of subject is trusted by, one row a clip.
+
+    `frames` has subject (pose, hands or face), frame and detected; a body is trusted by its joints' mean
+    visibility (`pose`: vis), hands by the mean score of which hand they are (`hands`: score, a row a hand),
+    a face by the share of frames it is seen in. Clips without joints or hands get 0.
+    """
+    by = list(by)
+    seen = frames.groupBy(*by, "subject").agg(F.avg(F.col("detected").cast("double")).alias("_seen"))
+    vis = pose.groupBy(*by).agg(F.avg("vis").alias("_vis"))
+    score = hands.groupBy(*by).agg(F.avg(F.round("score", 3)).alias("_score"))
+    d = seen.join(vis, by, "left").join(score, by, "left")
+    mean = F.when(F.col("subject") == "pose", F.col("_vis")).when(F.col("subject") == "hands", F.col("_score")).when(F.col("subject") == "face", F.col("_seen"))
+    return d.select(*by, "subject", F.round(F.coalesce(mean, F.lit(0.0)), 3).alias("confidence"), dims.lookup(F.col("subject"), dims.CONFIDENCE_OF).alias("confidence_of"))
+
+
 DEPTH_BONES = [("l_hip", "l_knee"), ("r_hip", "r_knee"), ("l_knee", "l_ank"), ("r_knee", "r_ank"), ("l_sho", "l_elb"), ("r_sho", "r_elb"), ("l_sho", "l_hip"), ("r_sho", "r_hip")]
 
 

@@ -308,6 +308,13 @@ def _judged(spark, sf):
     return ct.normalize_judgement(_raw(spark, sf, RAW_JUDGE))
 
 
+@query("judgement_facts", with_views("""SELECT doc_id, verdict, CASE WHEN doc_id % 3 = 1 THEN 'match_to_reference' ELSE 'class_plausibility' END AS score_of, CAST(CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 7 END AS BIGINT) AS frames_judged FROM jn""", [], JUDGE))
+def judgement_facts(spark, sf):
+    i = F.col("doc_id")
+    raw = _raw(spark, sf, RAW_JUDGE).withColumn("of", F.when(i % 3 == 1, "Match_To_Reference").when(i % 3 == 2, "vibes")).withColumn("shown", F.when(i % 4 == 0, "-3").otherwise((i % 7).cast("string")))
+    return ct.normalize_judgement(raw, score_of="of", frames="shown").select("doc_id", "verdict", "score_of", "frames_judged")
+
+
 @query("normalize_judgement", with_views("SELECT doc_id, verdict, score, d_amplitude, d_direction, d_frequency, d_damping, d_phase, warnings, CASE WHEN obj THEN 1 ELSE 0 END AS axes FROM jn", [], JUDGE))
 def normalize_judgement(spark, sf):
     at = lambda k: F.try_element_at("deltas", F.lit(k))

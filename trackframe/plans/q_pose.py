@@ -108,6 +108,16 @@ def skeleton_confidence(spark, sf):
     return ps.skeleton_confidence(v_pose(spark, sf), v_pose_frames(spark, sf))
 
 
+@query("subject_confidence", with_views("""SELECT f.clip, subject, CASE subject WHEN 'pose' THEN coalesce(mv, 0e0) WHEN 'hands' THEN coalesce(hs, 0e0) ELSE round(seen, 3) END AS confidence,
+    CASE subject WHEN 'pose' THEN 'mean_visibility' WHEN 'hands' THEN 'handedness_score' ELSE 'detection_ratio' END AS confidence_of FROM (
+    SELECT clip, CASE clip % 3 WHEN 0 THEN 'pose' WHEN 1 THEN 'hands' ELSE 'face' END AS subject, avg(CAST(detected AS INTEGER)) AS seen FROM v_pose_frames GROUP BY ALL) f
+    LEFT JOIN (SELECT clip, round(avg(vis), 3) AS mv FROM v_pose GROUP BY clip) p ON p.clip = f.clip LEFT JOIN (SELECT clip, round(avg(round(vis, 3)), 3) AS hs FROM v_pose WHERE joint IN ('l_wri', 'r_wri') GROUP BY clip) h ON h.clip = f.clip""", ["v_pose", "v_pose_frames"]))
+def subject_confidence(spark, sf):
+    kind = F.when(F.col("clip") % 3 == 0, "pose").when(F.col("clip") % 3 == 1, "hands").otherwise("face")
+    hands = v_pose(spark, sf).filter(F.col("joint").isin("l_wri", "r_wri")).select("clip", "frame", F.col("vis").alias("score"))
+    return ps.subject_confidence(v_pose_frames(spark, sf).withColumn("subject", kind), v_pose(spark, sf), hands)
+
+
 BONES8 = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(ps.DEPTH_BONES))
 
 
