@@ -42,4 +42,9 @@ def test_rule_without_engines_still_matches(spark):
     req = spark.createDataFrame([(1, cls, None, None, False)], "id long, class string, subject_type string, count string, has_text_prompt boolean")
     req = req.withColumn("count", F.col("count").cast(dict(dims.route_rules(spark).dtypes)["count"]))
     none = spark.createDataFrame([("unheard of", True, "")], "name string, available boolean, reason string")
-    assert rules and mt.resolve_route(req, none).first().engine == dims.CLASS_FLOOR[cls]
+    got = mt.resolve_route(req, none).first()
+    assert rules and got.engine == dims.CLASS_FLOOR[cls] and not got.usable and got.reason.endswith("floor not usable (not registered)")
+    gated = spark.createDataFrame([(dims.CLASS_FLOOR[cls], False, "no weights")], "name string, available boolean, reason string")
+    assert mt.resolve_route(req, gated).first().reason.endswith("floor not usable (no weights)")
+    there = spark.createDataFrame([(dims.CLASS_FLOOR[cls], True, "")], "name string, available boolean, reason string")
+    assert mt.resolve_route(req, there).first().usable

@@ -39,11 +39,12 @@ def resolve_engine(requests: DataFrame, engines: DataFrame, name: str = "name",
 
 
 def resolve_route(requests: DataFrame, engines: DataFrame) -> DataFrame:
-    """Adds engine and reason for requests (class, subject_type, count, has_text_prompt).
+    """Adds engine, reason and usable for requests (class, subject_type, count, has_text_prompt).
 
     The rules of a class and the state of their engines become one array per class. Each request
     then picks its first matching rule and that rule's first available engine inside its own row. A
-    rule none of whose engines is registered still matches, and ends on its class's floor.
+    rule none of whose engines is registered still matches, and ends on its class's floor; where that is not
+    available either, `usable` is false and the reason says why.
     """
     spark = requests.sparkSession
     rules = dims.route_rules(spark).withColumn("floor", dims.lookup(F.col("class"), dims.CLASS_FLOOR))
@@ -54,6 +55,8 @@ def resolve_route(requests: DataFrame, engines: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(there)), lambda x: x.getField("st")).alias("engines"))
     per_class = listed.groupBy("class").agg(
         F.array_sort(F.collect_list(F.struct("rule_no", "subject_type", "count", "has_text_prompt", "engines"))).alias("_rules"), F.max("floor").alias("_floor"))
+    # the floor is probed like any other engine: it may be out of reach too
+    per_class = per_class.join(state.select(F.col("_e").alias("_floor"), F.col("st").alias("_floor_state")), "_floor", "left")
     # six classes, thirteen rules: a fixed table
     d = requests.join(F.broadcast(per_class), "class", "left")
 
@@ -66,7 +69,10 @@ def resolve_route(requests: DataFrame, engines: DataFrame) -> DataFrame:
     tried = F.transform(upto, lambda e: F.concat(e.getField("name"), F.lit(": "), e.getField("reason")))
     text = F.when(F.col("_hit").isNotNull(), F.when(F.size(tried) > 0, F.concat(F.lit("skipped "), F.array_join(tried, ", "))).otherwise("first choice")) \
             .otherwise(F.concat(F.lit("none available ("), F.array_join(F.coalesce(tried, F.array().cast("array<string>")), "; "), F.lit(")")))
-    return d.withColumn("engine", F.coalesce("_hit", "_floor", F.lit("raft_small"))).withColumn("reason", text).drop("_rules", "_floor", "_list", "_hit")
+    usable = F.when(F.col("_hit").isNull(), F.coalesce(F.col("_floor_state.available"), F.lit(False))).otherwise(True)
+    why = F.when(~usable, F.concat(F.lit("; floor not usable ("), F.coalesce(F.col("_floor_state.reason"), F.lit("not registered")), F.lit(")")))
+    out = d.withColumn("engine", F.coalesce("_hit", "_floor", F.lit("raft_small"))).withColumn("reason", F.concat(text, F.coalesce(why, F.lit("")))).withColumn("usable", usable)
+    return out.drop("_rules", "_floor", "_floor_state", "_list", "_hit")
 
 
 def match_to_layers(swatches: DataFrame, labels: DataFrame, by: Sequence[str] = (), least: float = dims.CONFIDENCE_MIN) -> tuple[DataFrame, DataFrame]:
