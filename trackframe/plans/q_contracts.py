@@ -93,10 +93,10 @@ def confidence_gate(spark, sf):
     return ct.confidence_gate(_motions(spark, sf)).select("doc_id", "id", "confidence")
 
 
-@query("top_motions", with_views("SELECT doc_id, id, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pos) AS rank FROM mot WHERE class <> 'articulated') WHERE rank <= 2", [], MOTIONS))
+@query("top_motions", with_views("SELECT doc_id, id, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pos) AS rank FROM mot WHERE class <> 'articulated') WHERE rank <= 4", [], MOTIONS))
 def top_motions(spark, sf):
     m = _motions(spark, sf).filter("class <> 'articulated'")
-    return se.top_k(m.select("doc_id", "pos", "id", "confidence"), ["doc_id"], [F.col("confidence").desc(), F.col("pos")], 2).select("doc_id", "id", "confidence", "rank")
+    return se.top_k(m.select("doc_id", "pos", "id", "confidence"), ["doc_id"], [F.col("confidence").desc(), F.col("pos")], 4).select("doc_id", "id", "confidence", "rank")
 
 
 @query("classify_lookup", with_views("SELECT doc_id, id, backend, applicator, CASE WHEN class IN ('cloth', 'fluid') THEN 'mesh' ELSE 'rigid' END AS deforms FROM mot", [], MOTIONS))
