@@ -50,14 +50,14 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="trackframe-")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut the lineage of `df` by writing it to the shared folder and reading it back.
 
     The files outlive any executor, and their real size reaches the planner: estimates of a
     many-step plan would otherwise multiply with every join.
     """
     path = shared_folder(df.sparkSession, "step")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
