@@ -222,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    coded = checkpoint(encode_and_place(docs, tokenizer, end, dims, bits))
+    coded = checkpoint(encode_and_place(docs, tokenizer, end, dims, bits), "zstd")  # ids are most of what a run keeps on disk
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     light = coded.select("curve", "n").repartitionByRange(parts, "curve")
     ranges = sorted((r.low, r.total) for r in light.groupBy(F.spark_partition_id().alias("p")).agg(F.min("curve").alias("low"), F.sum("n").alias("total")).collect())
